@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mpeg, packing, pii, token_store, url_filter
+from tidemark.llm import exact_dedup, jaccard, mpeg, packing, pii, token_store, url_filter
 
 #: Where the vocabulary files are; never copied into the repository.
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
@@ -35,6 +35,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY, count_col="n_entities").select("doc_id", "text", "n_entities")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), RULES)
 
@@ -56,7 +60,7 @@ WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_token_store, op4_pii, op6_url_filter, op9_exact_dedup, op10_media)}
+    return {f.__name__: f for f in (op1_packing, op3_token_store, op4_pii, op5_jaccard_join, op6_url_filter, op9_exact_dedup, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
