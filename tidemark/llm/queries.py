@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, jaccard, mpeg, packing, pii, token_store, url_filter
+from tidemark.llm import exact_dedup, jaccard, language, mpeg, packing, pii, spm, token_store, toxicity, url_filter
 
 #: Where the vocabulary files are; never copied into the repository.
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
@@ -27,6 +28,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -43,6 +48,17 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), RULES)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), toxicity.in_fold("doc_id", 1)
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), eligible=~held_out)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode_documents(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -60,7 +76,7 @@ WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_token_store, op4_pii, op5_jaccard_join, op6_url_filter, op9_exact_dedup, op10_media)}
+    return {f.__name__: f for f in (op1_packing, op2_language_id, op3_token_store, op4_pii, op5_jaccard_join, op6_url_filter, op7_toxicity, op8_sentencepiece, op9_exact_dedup, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,6 +19,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
+#: Letters: of ASCII, and all bytes of other characters.
+IS_LETTER = np.zeros(256, bool)
+IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
 def _fold_case() -> np.ndarray:
     low = np.arange(256)
     low[65:91] += 32
@@ -65,10 +70,14 @@ def blocks(texts: pa.Array, max_rows: int = 1000) -> Iterator[tuple[int, np.ndar
         first = last
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers of all words, first word of each text and their total, where words begin, where they end)."""
+def words(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray = _IS_WORD, prefixes: tuple[int, ...] = ()) -> tuple:
+    """(numbers of all words, first word of each text and their total, where words begin, where they end).
+
+    ``kind`` says of each byte whether it belongs to words. For each of ``prefixes`` a further array has the numbers of
+    the words' first so many bytes.
+    """
     n = len(data)
-    inside = _IS_WORD[data]
+    inside = kind[data]
     cut = np.zeros(n + 1, bool)
     cut[bounds] = True
     before = np.concatenate([[False], inside[:-1]]) if n else inside
@@ -79,7 +88,8 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[data] * up[:n], out=total[1:])
     numbers = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
-    return numbers, np.searchsorted(start, bounds), start, end
+    heads = [mix((total[np.minimum(end, start + k)] - total[start]) * down[start] + np.array([k << 20], np.uint64) * _STEP) for k in prefixes]
+    return numbers, np.searchsorted(start, bounds), start, end, *heads
 
 
 def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -88,7 +98,7 @@ def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray,
     A text of fewer than ``k`` words, but at least one, has its whole sequence as its only shingle.
     """
     for first, data, bounds in blocks(texts):
-        numbers, at, _, _ = words(data, bounds)
+        numbers, at, *_ = words(data, bounds)
         grams = numbers[: max(0, len(numbers) - k + 1)].copy()
         for j in range(1, k):
             grams = grams * _STEP + numbers[j : j + len(grams)]
