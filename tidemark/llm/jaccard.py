@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import on_workers, partitions, settle
+from tidemark.llm.common import free_name, on_workers, partitions, settle
 from tidemark.llm.shingles import mix, shingle_sets
 
 _U = np.uint64
@@ -51,7 +51,7 @@ class Similarity:
 
     @property
     def tiny(self) -> int:
-        """The largest size at which two sets of it differ in at most one place... by U <= 1."""
+        """The largest size at which U is at most 1 for two sets of it."""
         n = 0
         while self.differences(2 * (n + 1)) <= 1:
             n += 1
@@ -485,5 +485,6 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     Documents without words all stay. Rows that repeat an id and lie in one component stay together.
     """
     classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, **options)
-    gone = settle(classes.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    name = free_name(docs.columns, "_gone")
+    gone = settle(classes.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias(name)).distinct(), "jaccard-gone")
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[name]), "left_anti")

@@ -274,6 +274,20 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return chosen.mapInArrow(task, f"doc_id long, score double, predicted int, best double, n_words long, passages {PASSAGES}")
 
 
+def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose text is not predicted to be toxic, with all their columns, in one pass and no join."""
+    spark = docs.sparkSession
+    on_workers(spark)
+    sent, place = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def task(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for first, n, _, evidence, _ in _analyse(batch.column(place), sent.value):
+                yield batch.slice(first, len(n)).filter(pa.array(sent.value.probability(evidence) < threshold))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 def in_fold(id_col: str, fold: int, folds: int = 3) -> Column:
     """Whether crc32 of the id as text leaves the remainder ``fold``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold
