@@ -299,4 +299,4 @@ def media_digest(media: DataFrame, with_offsets: bool = False) -> DataFrame:
 
 def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the media table to the shared folder and returns it as read back."""
-    return settle(to_media(docs, id_col=id_col, text_col=text_col), "media", compression="zstd")
+    return settle(to_media(docs, id_col=id_col, text_col=text_col), "media")
