@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import on_workers
-from tidemark.llm.tokens import crc32_of, memo, text_batches, with_end
+from tidemark.llm.segments import encoder
+from tidemark.llm.tokens import crc32_of, with_end
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -143,7 +144,7 @@ class SumOfSquares:
 
 
 def _pack_task(batches: Iterator[pa.RecordBatch], path: str, byte_level: bool, window: int, end_id: int, max_open: int, keep_ids: bool):
-    encoder = memo(path, byte_level)
+    codec = encoder(path, byte_level)
     base = TaskContext.get().partitionId() << 32
     rows: list[tuple] = []
 
@@ -164,9 +165,9 @@ def _pack_task(batches: Iterator[pa.RecordBatch], path: str, byte_level: bool, w
     packer = SumOfSquares(window, emit, max_open)
     for batch in batches:
         doc_ids = batch.column(0).to_pylist()
-        for first, texts in text_batches(batch.column(1).to_pylist()):
-            flat, bounds = with_end(*encoder.encode(texts), end_id)
-            for k in range(len(texts)):
+        for first, flat, bounds in codec.columns(batch.column(1)):
+            flat, bounds = with_end(flat, bounds, end_id)
+            for k in range(len(bounds) - 1):
                 packer.add(doc_ids[first + k], flat[bounds[k] : bounds[k + 1]])
             if rows:
                 yield out()

@@ -43,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of them."""
     if len(_POWERS.get("up", ())) < n:
         size = max(n, BLOCK)
@@ -84,7 +84,7 @@ def words(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray = _IS_WORD, pre
     start = np.flatnonzero(inside & (~before | cut[:-1]))
     after = np.concatenate([inside[1:], [False]]) if n else inside
     end = np.flatnonzero(inside & (~after | cut[1:])) + 1
-    up, down = _powers(n + 1)
+    up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[data] * up[:n], out=total[1:])
     numbers = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
