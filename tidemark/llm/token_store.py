@@ -15,21 +15,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh_path, on_workers, partitions, settings
-from tidemark.llm.tokens import crc32_of, memo, text_batches, with_end
+from tidemark.llm.segments import encoder
+from tidemark.llm.tokens import crc32_of, with_end
 
 _STORE = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
 def _encode_task(batches: Iterator[pa.RecordBatch], path: str, byte_level: bool, end_id: int):
-    encoder, seen, part_now = memo(path, byte_level), 0, None
+    codec, seen, part_now = encoder(path, byte_level), 0, None
     for batch in batches:
         ids, parts = batch.column(0), batch.column(2)
-        for first, texts in text_batches(batch.column(1).to_pylist()):
-            n = len(texts)
+        for first, flat, bounds in codec.columns(batch.column(1)):
+            flat, bounds = with_end(flat, bounds, end_id)
+            n = len(bounds) - 1
             part = parts.slice(first, n)
             if part_now != (p := part[0].as_py()):
                 part_now, seen = p, 0
-            flat, bounds = with_end(*encoder.encode(texts), end_id)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(first, n), part, pa.array(seen + bounds[:-1]), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int32)))],
                 ["doc_id", "part", "local_start", "n_tokens", "ids"],
@@ -63,7 +64,7 @@ def write_token_store(
     dealt = chosen.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     encoded = dealt.select("doc_id", "text", "part").mapInArrow(lambda it: _encode_task(it, tokenizer_path, byte_level, end_id), _STORE)
     options = {
-        "compression": "zstd",
+        "compression": "snappy",
         "orc.stripe.size": str(stripe_bytes),
         "orc.create.index": "true",
         "orc.row.index.stride": str(row_index_stride),
@@ -80,26 +81,26 @@ def read_token_store(spark: SparkSession, path: str, doc_ids: list[int] | None =
     return stored if doc_ids is None else stored.where(F.col("doc_id").isin([int(x) for x in doc_ids]))
 
 
-def with_starts(stored: DataFrame) -> DataFrame:
-    """Adds ``start``, the ids of all documents before: a file's total is one row, and only totals are summed over files."""
+def file_starts(stored: DataFrame) -> DataFrame:
+    """(part, before): the ids in all files before. A file's total is one row, and only totals are summed over files."""
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = totals.select(F.col("part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return stored.join(before, "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
+    return totals.select(F.col("part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        ids = batch.column(3)
+        ids = batch.column(4)
         values, offsets = ids.values.to_numpy().view(np.uint32), ids.offsets.to_numpy()
         crc = [crc32_of(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())], ["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
 
 def token_store_digest(stored: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids, from the files."""
+    """doc_id, start (the ids of all documents before), n_tokens and the crc32 of the ids, from the files."""
     on_workers(stored.sparkSession)
-    rows = with_starts(stored).select("doc_id", "start", "n_tokens", "ids")
-    return rows.mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = stored.select("doc_id", "part", "local_start", "n_tokens", "ids").mapInArrow(_digest, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+    found = rows.join(file_starts(stored), "part")
+    return found.select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def store_and_read(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:

@@ -1,17 +1,14 @@
-"""Encoding of whole texts with the tokenizers library, word by word and each distinct word once.
+"""Encoding of whole texts word by word, each distinct word once, and helpers for rows of ids.
 
-The three vocabularies in use never join characters across a single space, so the ids of a text are the ids of its
-space-separated words, one after the other. A word's ids come from the library and are remembered in the worker.
-Texts where a word touches other white space at its edge (runs of blanks, leading or trailing ones) are the cases in
+A vocabulary that never joins characters across a single space gives a text the ids of its space-separated words, one
+after the other. A word's ids come from the library and are remembered in the worker. Texts where a word touches other white space at its edge (runs of blanks, leading or trailing ones) are the cases in
 which that need not hold; those are encoded whole by the library.
 """
 
 from __future__ import annotations
 
-import os
 import zlib
 from itertools import chain, repeat
-from typing import Any
 
 import numpy as np
 
@@ -22,7 +19,7 @@ _FIRST = "\udc80"
 class WordMemo:
     """Ids of texts. ``lead`` is what stands before every word but the first, ``lead_first`` before the first one."""
 
-    def __init__(self, encode_batch, lead: str, lead_first: str, whole, drops_space: bool = False, max_words: int = 2_000_000):
+    def __init__(self, encode_batch, lead: str, lead_first: str, whole, drops_space: bool = False, max_words: int = 500_000):
         self.encode_batch, self.lead, self.lead_first, self.whole = encode_batch, lead, lead_first, whole
         self.drops_space, self.max_words = drops_space, max_words
         self._clear()
@@ -92,29 +89,6 @@ class WordMemo:
         return flat, bounds.astype(np.int64)
 
 
-_LOADED: dict[str, WordMemo] = {}
-
-
-def memo(path: str, byte_level: bool) -> WordMemo:
-    """The encoder of a tokenizers file, kept for the life of the worker.
-
-    ``byte_level``: a byte-level vocabulary, whose words carry the space before them; otherwise white space is dropped
-    by the tokenizer and words stand alone. Strings of special tokens in a text are ordinary text.
-    """
-    if path not in _LOADED:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer: Any = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-
-        def ids(texts: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-        _LOADED[path] = WordMemo(ids, " " if byte_level else "", "", ids, drops_space=not byte_level)
-    return _LOADED[path]
-
-
 def with_end(flat: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and bounds with the id ``end`` after each text."""
     n = len(bounds) - 1
@@ -132,7 +106,7 @@ def crc32_of(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
-def text_batches(texts: list[str | None], max_chars: int = 4_000_000):
+def text_batches(texts: list[str | None], max_chars: int = 2_000_000):
     """(first row, texts) in slices of bounded size, a null as an empty text."""
     first, size, part = 0, 0, []
     for k, t in enumerate(texts):
