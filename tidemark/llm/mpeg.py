@@ -184,6 +184,10 @@ def _read_table(frame: bytes, h: Header) -> dict | None:
     return None
 
 
+def _kin(a: Header, b: Header | None) -> bool:
+    return b is not None and (a.version, a.layer, a.rate) == (b.version, b.layer, b.rate)
+
+
 def parse(buf: bytes) -> Audio:
     """Reads a file; junk between frames is skipped and counted, a cut last frame is junk."""
     audio = Audio()
@@ -194,9 +198,8 @@ def parse(buf: bytes) -> Audio:
     while at + 4 <= end:
         h = read_header(buf[at : at + 4])
         whole = h is not None and at + h.length <= end
-        if whole and not synced:  # a header found in junk counts if another frame or the end follows
-            following = read_header(buf[at + h.length : at + h.length + 4])
-            whole = at + h.length == end or following is not None and (following.version, following.layer, following.rate) == (h.version, h.layer, h.rate)
+        if whole and not (synced and audio.header and _kin(h, audio.header)):  # else it counts if its like or the end follows
+            whole = at + h.length == end or _kin(h, read_header(buf[at + h.length : at + h.length + 4]))
         if not whole:
             audio.resyncs += synced
             synced = False

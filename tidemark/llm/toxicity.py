@@ -62,8 +62,8 @@ class Model:
         return (np.clip(w, -self.cap, self.cap) - self.drift)[back]
 
     def surprise(self, score, n):
-        """Minus the logarithm of how many segments of the score or more a clean text of n words would have."""
-        return self.lam * np.asarray(score) - np.log(self.k * np.maximum(n, 1))
+        """Minus the logarithm of how many segments of the score or more a clean text of n words would have (of 0: one at least)."""
+        return self.lam * np.asarray(score) - np.log(np.maximum(self.k * np.asarray(n), 1))
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.offset, -50, 50)))
@@ -174,7 +174,7 @@ def _lambda(w: np.ndarray, n: np.ndarray) -> float:
     """The positive root of sum of share * exp(lambda w) = 1, by bisection."""
     p = n / n.sum()
     if not (w > 0).any() or (p * w).sum() >= 0:
-        return 0.5
+        return 1.0  # as for a plain ratio of likelihoods
     low, high = 1e-3, 5.0
     for _ in range(60):
         mid = (low + high) / 2
@@ -194,7 +194,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(max(b[0], 1e-3)), float(b[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, features: int = 400_000, least: int = 2, eligible: Column | None = None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, features: int = 200_000, least: int = 2, eligible: Column | None = None) -> Model:
     """Fits weights and calibration to about ``sample`` labelled documents, chosen by a hash of their id.
 
     Two thirds count towards the weights, one third towards the calibration. ``eligible``: which labels may be used.
