@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, settle
+from tidemark.llm.common import free_name, settings, settle
 
 # Titles by gender, scripts with their letters.
 _MALE = ["Mr", "Herr", "Sr", "Monsieur", "Señor", "Господин", "Κύριος"]
@@ -182,19 +182,27 @@ def attempts_of(entities: DataFrame, key: str, max_rounds: int = 30) -> DataFram
     In each round, of the entities that share a surrogate the one first in order keeps it; the others, and those whose
     surrogate is an entity of the corpus, take the next attempt.
     """
-    now = settle(entities.withColumn("attempt", F.lit(0)), "pii-entities")
-    for _ in range(max_rounds):
-        made = now.withColumn("stream", _stream(key, F.col("kind"), F.col("canon"), F.col("attempt")))
-        made = made.withColumn("made", surrogate(F.col("sample"), F.col("kind"), F.col("canon"), F.col("stream"))).withColumn("made", canonical(F.col("made"), F.col("kind")))
-        shared = made.groupBy("kind", "made").agg(F.min("canon").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        late = made.join(shared, ["kind", "made"]).where("canon <> first").select("kind", "canon")
-        real = made.join(entities.select("kind", F.col("canon").alias("made")).distinct(), ["kind", "made"], "left_semi").select("kind", "canon")
-        bad = settle(late.unionByName(real).distinct(), "pii-collisions")
-        if bad.isEmpty():
-            break
-        flagged = now.join(bad.withColumn("bad", F.lit(1)), ["kind", "canon"], "left")
-        now = settle(flagged.select("kind", "canon", "sample", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt")), "pii-entities")
-    return now
+    now = settle(_with_surrogates(entities.withColumn("attempt", F.lit(0)), key), "pii-entities")
+    real = now.select("kind", F.col("canon").alias("made"))
+    with settings(entities.sparkSession, spark__sql__codegen__wholeStage="false"):  # small plans, not worth compiling
+        for _ in range(max_rounds):
+            shared = now.groupBy("kind", "made").agg(F.min("canon").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+            late = now.join(shared, ["kind", "made"]).where("canon <> first").select("kind", "canon")
+            taken = now.join(real, ["kind", "made"], "left_semi").select("kind", "canon")
+            bad = settle(late.unionByName(taken).distinct(), "pii-collisions")
+            if bad.isEmpty():
+                break
+            flagged = now.join(bad.withColumn("bad", F.lit(1)), ["kind", "canon"], "left")
+            raised = flagged.where("bad = 1").select("kind", "canon", "sample", (F.col("attempt") + 1).alias("attempt"))
+            now = settle(flagged.where("bad is null").drop("bad").unionByName(_with_surrogates(raised, key)), "pii-entities")
+    return now.drop("made")
+
+
+def _with_surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """Adds ``made``, the canonical form of the surrogate, to (kind, canon, sample, attempt)."""
+    told = entities.withColumn("stream", _stream(key, F.col("kind"), F.col("canon"), F.col("attempt")))
+    told = told.withColumn("made", surrogate(F.col("sample"), F.col("kind"), F.col("canon"), F.col("stream")))
+    return told.select("kind", "canon", "sample", "attempt", canonical(F.col("made"), F.col("kind")).alias("made"))
 
 
 def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", count_col: str | None = None) -> DataFrame:
