@@ -32,10 +32,10 @@ def query(sql: str | None = None, name: str | None = None):
     return keep
 
 
-def rounded(rows: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of summation does not show; integers as long."""
+def rounded(rows: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles rounded, so that the order of summation does not show, but for exact ones in ``keep``; integers as long."""
     cast = {"double": lambda c: F.round(c, digits), "float": lambda c: F.round(c.cast("double"), digits), "int": lambda c: c.cast("long"), "smallint": lambda c: c.cast("long"), "tinyint": lambda c: c.cast("long")}
-    return rows.select(*(cast.get(t, lambda c: c)(F.col(f"`{c}`")).alias(c) for c, t in rows.dtypes))
+    return rows.select(*(F.col(f"`{c}`") if c in keep else cast.get(t, lambda c: c)(F.col(f"`{c}`")).alias(c) for c, t in rows.dtypes))
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:

@@ -53,11 +53,11 @@ def io6_events_by_type(spark, d):
     return events(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_day"), F.max("date").alias("last_day"), ids.alias("ids"))
 
 
-@query(f"""SELECT week_start, {r6('raw', 'z', 'reg', 'infra')} FROM (SELECT week_start, raw, CASE WHEN week_start < '{CUTOFF}' THEN 0 ELSE z END AS z,
+@query(f"""SELECT week_start, raw, {r6('z', 'reg', 'infra')} FROM (SELECT week_start, raw, CASE WHEN week_start < '{CUTOFF}' THEN 0 ELSE z END AS z,
   CASE WHEN week_start < '{CUTOFF}' THEN 0 ELSE z * reg_proportion END AS reg, CASE WHEN week_start < '{CUTOFF}' THEN 0 ELSE z * infra_proportion END AS infra FROM zs)""")
 def io7_sentiment_stages(spark, d):
     rows = ts.decompose(ts.rolling_zscore(weeks(spark, d), "raw", "week_start"))
-    return rounded(ts.zero_before(rows, ["z", "reg", "infra"], CUTOFF, "week_start").select("week_start", "raw", "z", "reg", "infra"))
+    return rounded(ts.zero_before(rows, ["z", "reg", "infra"], CUTOFF, "week_start").select("week_start", "raw", "z", "reg", "infra"), keep=("raw",))
 
 
 @query("""WITH p AS (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events) SELECT event_type, count(*) AS n, count(k) AS with_k, min(k) AS first_k, max(k) AS last_k FROM p GROUP BY 1""")
@@ -273,15 +273,15 @@ def j2_left_index_join(spark, d):
     return rounded(cal.reindex(rets(spark, d).select("asset", "date").distinct(), _daily(spark, d), ["z"], fill=None))
 
 
-@query(_with(_DAILY, "SELECT date, round(z, 6) + 0 AS z, round(raw, 6) AS raw FROM daily"))
+@query(_with(_DAILY, "SELECT date, round(z, 6) + 0 AS z, raw FROM daily"))
 def j3_carry_forward(spark, d):
-    return rounded(_daily(spark, d))
+    return rounded(_daily(spark, d), keep=("raw",))
 
 
-@query("SELECT r.asset, r.date, k.week_start, round(k.raw, 6) AS raw FROM ret r ASOF LEFT JOIN wk k ON r.date >= k.week_start")
+@query("SELECT r.asset, r.date, k.week_start, k.raw FROM ret r ASOF LEFT JOIN wk k ON r.date >= k.week_start")
 def j3_as_of_join(spark, d):
     right = weeks(spark, d).select(F.col("week_start").alias("date"), "week_start", "raw")
-    return rounded(ts.as_of(rets(spark, d).select("asset", "date"), right, ["week_start", "raw"], "date"))
+    return ts.as_of(rets(spark, d).select("asset", "date"), right, ["week_start", "raw"], "date")
 
 
 @query("SELECT asset, date, d_infrastructure, d_regulatory FROM dummies")
