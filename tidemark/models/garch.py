@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from tidemark.functions import labels
 from tidemark.functions.special import lgamma, t_sf2
 
 FLOOR = 1e-8
@@ -204,21 +205,24 @@ def _bfgs(f, z: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray,
     return z, value, False
 
 
+def _start(data: Data, core: np.ndarray, exog: np.ndarray) -> np.ndarray:
+    """Omega scaled by the variance, no gamma where it is not fitted, beta lowered until the start is stationary."""
+    p = np.concatenate([core * np.array([data.var0, 1, float(data.leverage), 1, 1]), exog])
+    rest = p[1] + abs(p[2]) / 2
+    if rest + p[3] >= data.stationary:
+        p[3] = labels.START_REPAIR - rest
+    return p
+
+
 def default_start(data: Data) -> np.ndarray:
-    return np.concatenate([[data.var0 * 0.1, 0.05, 0.05 if data.leverage else 0.0, 0.85, 5.0], np.zeros(data.exog.shape[1])])
+    return _start(data, np.array([labels.DEFAULT_START[n] for n in NAMES]), np.zeros(data.exog.shape[1]))
 
 
 def random_starts(data: Data, n: int, seed: int | None) -> list[np.ndarray]:
-    """The default start and n - 1 random ones, drawn in one fixed order and made stationary."""
-    rng, out = np.random.default_rng(seed), [default_start(data)]
-    for _ in range(n - 1):
-        s = np.concatenate([[data.var0 * rng.uniform(0.02, 0.30), rng.uniform(0.01, 0.15), rng.uniform(-0.10, 0.20), rng.uniform(0.70, 0.93), rng.uniform(3.0, 12.0)], rng.normal(0.0, 0.5, data.exog.shape[1])])
-        if not data.leverage:
-            s[2] = 0.0
-        if s[1] + s[3] + abs(s[2]) / 2 >= data.stationary:
-            s[3] = 0.90 - s[1] - abs(s[2]) / 2
-        out.append(s)
-    return out
+    """The default start and n - 1 random ones."""
+    rng = np.random.default_rng(seed)
+    low, high = np.array([labels.START_RANGES[k] for k in NAMES]).T
+    return [default_start(data)] + [_start(data, rng.uniform(low, high), rng.normal(0.0, labels.START_EXOG_SD, data.exog.shape[1])) for _ in range(n - 1)]
 
 
 def fit(data: Data, start: np.ndarray | None = None, rounds: int = 200) -> Fit:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.labels import DIRECTION, DISPOSITION, INTEGRATION
 from tidemark.operators import calendar as cal
 from tidemark.operators import statistics as st
 from tidemark.operators import timeseries as ts
@@ -193,7 +194,7 @@ def t16_publication_rounding(spark, d):
   FROM (SELECT *, event_id IN (SELECT event_id FROM cal) AS kept FROM census)"""))
 def t17_disposition(spark, d):
     rows = _census(spark, d).join(events(spark, d).select("event_id", F.lit(True).alias("kept")), "event_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-    what = F.when(F.col("kept"), "RETAINED").when(F.col("n_moved") < 2, "DROPPED_STAGE2").otherwise("DROPPED_STAGE34")
+    what = F.when(F.col("kept"), DISPOSITION[0]).when(F.col("n_moved") < 2, DISPOSITION[1]).otherwise(DISPOSITION[2])
     why = F.when(F.col("kept"), "").when(F.col("n_moved") == 0, "no asset moved by more than one sd").when(F.col("n_moved") < 2, F.format_string("only %d asset moved by more than one sd; two are needed", "n_moved")).otherwise("passes the screen; left out later")
     return rows.select("event_id", what.alias("disposition"), why.alias("reason"))
 
@@ -207,12 +208,12 @@ def t18_integration_verdict(spark, d):
 
 def integration_verdict(unit_root_rejected, stationary_rejected):
     u, k = unit_root_rejected, stationary_rejected
-    return F.when(u & ~k, "I(0)").when(~u & k, "I(1)").when(u & k, "ambiguous/near-I(1)").otherwise("ambiguous (neither rejects)")
+    return F.when(u & ~k, INTEGRATION[0]).when(~u & k, INTEGRATION[1]).when(u & k, INTEGRATION[2]).otherwise(INTEGRATION[3])
 
 
 def direction_label(p_forward, p_back, level: float = 0.05):
     a, b = p_forward < level, p_back < level
-    return F.when(a & ~b, "Sentiment LEADS").when(b & ~a, "Returns LEAD").when(a & b, "Bidirectional").otherwise("Neither (independent)")
+    return F.when(a & ~b, DIRECTION[0]).when(b & ~a, DIRECTION[1]).when(a & b, DIRECTION[2]).otherwise(DIRECTION[3])
 
 
 _PS = "ps AS (SELECT asset, count(*) FILTER (ret > 0) / count(*) - 0.45 AS p1, count(*) FILTER (ret < -20) / count(*) * 0.25 AS p2 FROM ret GROUP BY 1)"
