@@ -6,15 +6,20 @@ Method: pigeonhole over a partition of the universe of shingle hashes.
 * Sizes are cut into bands that grow threefold. Each band cuts the universe into m segments. A difference spoils at most
   one segment, so of the segments that hold something in either set at least max(k(r), k(s)) - U are alike, where k counts
   a set's non-empty segments. A set is indexed in its own band, and in the next one if a partner can be there.
-* Cost-based allocation: a signature (segment and content) costs as much as it is frequent. By the prefix principle it is
-  enough to index, of each set, its U + 1 cheapest signatures in one order for all: those found heavy last, else by hash.
-  Heavy signatures come from bounded summaries that every scan task makes of all its signatures. The order decides
-  only the cost: the join is exact with any.
-* A set with fewer than U + 1 non-empty segments is indexed with all of them, and again with one segment for each shingle.
+* Cost-based allocation: a signature (segment and content) costs as much as it is frequent. By the prefix principle, sets
+  indexed by their U + t cheapest signatures, in one order for all, share t of them if they are similar: ordered by the
+  power of two of their known frequency, then by hash. Frequencies come from bounded summaries that every scan task makes
+  of all its signatures. The order decides only the cost: the join is exact with any.
+* A set with fewer than U + t non-empty segments is indexed with all of them, and again with one segment for each shingle.
 * Sets so small that U is at most 1 have a single segment, indexed with its one-deletion neighbourhood.
 
-Then candidates are verified exactly. Sets that share a signature are not all paired: each is compared with a pivot;
-only where a group still spans several components are the remaining pairs compared. Equal sets are one node throughout.
+Sets that share a signature form a group. Small groups are counted pair by pair, and only pairs that share t signatures
+count; larger groups, and frequent signatures, which are dealt over tasks by a salt, tie all their sets to one of them.
+The connected parts of this graph are then joined, each in a task by an inverted index: first over the smallest quarter
+of the universe, where sets that differ by more than U are not similar, then what stays connected over whole sets,
+exactly. Parts above a fixed number of shingles are cut into blocks, and each pair of blocks is a task. A task tells
+only a spanning forest of the links it finds. Equal sets are one node throughout. Nothing but bounded tables and checksums comes to the
+driver.
 """
 
 from __future__ import annotations
@@ -28,13 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, on_workers, partitions, settle
+from tidemark.llm.common import free_name, on_workers, partitions, settings, settle
 from tidemark.llm.shingles import mix, shingle_sets
 
 _U = np.uint64
-_EXTRA = 39  # bits of identity beside a set's size in the number ``x``
 _SALTS = 64
+_SIG = 48  # bits of a signature
+_HOT = 6  # signatures known to be in 2**_HOT sets or more are salted
 _BATCH = 1 << 18
+_SMALL = 16  # groups of so many sets are counted pair by pair
+_LEAST, _MOST, _PER = 4, 32, 16  # bounds of t and shingles for each of its units
 
 
 @dataclass(frozen=True)
@@ -66,21 +74,25 @@ class Similarity:
         return np.array(out, np.int64)
 
 
+def shared(n):
+    """t: how many signatures a set of n shingles shares at least with every set that is similar and not smaller."""
+    return np.clip(n // _PER, _LEAST, _MOST)
+
+
 def identities(u: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(x, id) of each set: its size and 103 bits of a digest. Empty sets have x = 0."""
+    """(x, id) of each set: its size and 64 bits of a digest, which together are its identity. Empty sets have x = 0."""
     x, ids, at = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), 0
     raw = u.tobytes()
     for k, n in enumerate(sizes.tolist()):
         if n:
-            digest = hashlib.blake2b(raw[8 * at : 8 * (at + n)], digest_size=16).digest()
-            ids[k] = int.from_bytes(digest[:8], "little", signed=True)
-            x[k] = n << _EXTRA | int.from_bytes(digest[8:], "little") >> 64 - _EXTRA
+            ids[k] = int.from_bytes(hashlib.blake2b(raw[8 * at : 8 * (at + n)], digest_size=8).digest(), "little", signed=True)
+            x[k] = n
             at += n
     return x, ids
 
 
 def signatures(u: np.ndarray, sizes: np.ndarray, sim: Similarity) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(set of each signature, signature of 51 bits, how many of them each set needs) for every band and level."""
+    """(set of each signature, signature of 48 bits, how many of them each set needs) for every band and level."""
     edges = sim.edges
     own = np.searchsorted(edges, sizes, "right") - 1
     own[sizes == 0] = -9
@@ -105,12 +117,12 @@ def signatures(u: np.ndarray, sizes: np.ndarray, sim: Similarity) -> Iterator[tu
             owner.append(chosen[doc[more]])
             need = np.zeros(len(sizes), np.int64)
             need[chosen] = n + 1
-            yield np.concatenate(owner), np.concatenate(sig) >> _U(13), need
+            yield np.concatenate(owner), np.concatenate(sig) >> _U(64 - _SIG), need
             continue
         top = int(edges[band + 1]) - 1
         largest = np.minimum(n * sim.den // sim.num, top)
-        needed = sim.differences(n + largest) + 1
-        m = _U(max(2, round((top + 1) / 2.4)))
+        needed = sim.differences(n + largest) + shared(n)
+        m = _U(max(2, round((top + 1) / 2)))
         segment = ((v >> _U(32)) * m) >> _U(32) if m < _U(1 << 31) else v
         place = doc.astype(_U) << _U(40) ^ segment
         start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
@@ -120,32 +132,42 @@ def signatures(u: np.ndarray, sizes: np.ndarray, sim: Similarity) -> Iterator[tu
         owner = doc[start]
         need = np.zeros(len(sizes), np.int64)
         need[chosen] = needed
-        yield chosen[owner], sig >> _U(13), need
+        yield chosen[owner], sig >> _U(64 - _SIG), need
         poor = np.bincount(owner, minlength=len(chosen)) < needed
         if poor.any():
             single = poor[doc]
             need = np.zeros(len(sizes), np.int64)
             need[chosen[poor]] = needed[poor]
-            yield chosen[doc[single]], mix(v[single] * _U(5) + tag) >> _U(13), need
+            yield chosen[doc[single]], mix(v[single] * _U(5) + tag) >> _U(64 - _SIG), need
+
+
+@dataclass
+class Costs:
+    """Signatures with a known frequency, sorted, and the power of two of each, at most 15."""
+
+    known: np.ndarray
+    power: np.ndarray
 
+    def of(self, sig: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.zeros(len(sig), _U)
+        at = np.minimum(np.searchsorted(self.known, sig), len(self.known) - 1)
+        return np.where(self.known[at] == sig, self.power[at], 0).astype(_U)
 
-def cheapest(u: np.ndarray, sizes: np.ndarray, sim: Similarity, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, signature, whether heavy) of the signatures to index."""
+
+def cheapest(u: np.ndarray, sizes: np.ndarray, sim: Similarity, costs: Costs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, power of its frequency) of the signatures to index."""
     out = []
     for owner, sig, need in signatures(u, sizes, sim):
-        hot = np.zeros(len(sig), bool)
-        if len(heavy):
-            at = np.minimum(np.searchsorted(heavy, sig), len(heavy) - 1)
-            hot = heavy[at] == sig
-        key = np.sort(owner.astype(_U) << _U(52) | hot.astype(_U) << _U(51) | sig)
+        key = np.sort(owner.astype(_U) << _U(52) | costs.of(sig) << _U(_SIG) | sig)
         have = np.bincount((key >> _U(52)).astype(np.int64), minlength=len(sizes))
         first = np.cumsum(have) - have
         quota = np.minimum(have, need)
         rank = np.arange(int(quota.sum())) - np.repeat(np.cumsum(quota) - quota, quota)
         key = key[np.repeat(first, quota) + rank]
-        out.append(((key >> _U(52)).astype(np.int64), key & _U((1 << 51) - 1), (key >> _U(51) & _U(1)).astype(bool)))
+        out.append(((key >> _U(52)).astype(np.int64), key & _U((1 << _SIG) - 1), (key >> _U(_SIG) & _U(15)).astype(np.int64)))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))  # type: ignore[return-value]
 
 
@@ -166,7 +188,7 @@ def _only(u: np.ndarray, sizes: np.ndarray, keep: np.ndarray) -> tuple[np.ndarra
 class _Summary:
     """The most frequent of all signatures of a task, in bounded memory: counts of those met at least twice in a run."""
 
-    def __init__(self, keep: int, run: int = 4_000_000):
+    def __init__(self, keep: int, run: int = 1 << 21):
         self.keep, self.run, self.parts, self.held = keep, run, [], 0
         self.sig, self.n = np.zeros(0, _U), np.zeros(0, np.int64)
 
@@ -190,8 +212,11 @@ class _Summary:
         self.sig, self.n = sig, n
 
 
+_SCAN = "kind int, doc_id long, x long, id long, n long"
+
+
 def _scan_task(batches: Iterator[pa.RecordBatch], sim: Similarity, keep: int):
-    """Rows of kind 0: a document's id, x, id and size; of kind 1: a signature and how often the task has it."""
+    """Rows of kind 0: a document's id, x, id and size; of kind 1: a signature (id) and how often (n) the task has it."""
     names, seen, summary = ["kind", "doc_id", "x", "id", "n"], set(), _Summary(keep)
     for batch in batches:
         for first, u, sizes in shingle_sets(batch.column(1), sim.k):
@@ -207,69 +232,77 @@ def _scan_task(batches: Iterator[pa.RecordBatch], sim: Similarity, keep: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), zero, zero, pa.array(summary.sig.astype(np.int64)), pa.array(summary.n)], names)
 
 
-def _index_task(batches: Iterator[pa.RecordBatch], sim: Similarity, heavy: np.ndarray):
-    """(key, x, id): a signature, with the set's salt if it is heavy, so that its sets spread over tasks."""
+def _index_task(batches: Iterator[pa.RecordBatch], sim: Similarity, costs: Costs):
+    """(key, x, id): a signature, with the set's salt if it is frequent, so that its sets spread over tasks."""
     seen: set = set()
     for batch in batches:
         for _, u, sizes in shingle_sets(batch.column(1), sim.k):
             x, ids = identities(u, sizes)
             fresh = _new(x, ids, seen)
             x, ids = x[fresh], ids[fresh]
-            owner, sig, hot = cheapest(*_only(u, sizes, fresh), sim, heavy)
-            key = sig.astype(np.int64) << 6 | np.where(hot, ids[owner] & (_SALTS - 1), 0)
+            owner, sig, power = cheapest(*_only(u, sizes, fresh), sim, costs)
+            key = sig.astype(np.int64) << 6 | np.where(power >= _HOT, ids[owner] & (_SALTS - 1), 0)
             if len(key):
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(x[owner]), pa.array(ids[owner])], ["key", "x", "id"])
 
 
-def _group_task(batches: Iterator[pa.RecordBatch], sim: Similarity, heavy: np.ndarray):
-    """From rows in order of (key, x, id): the groups of sets that share a key, alike groups once.
-
-    Rows of kind 0: group, set, pivot (the first set in it, or the first that is large enough to be similar). Rows of
-    kind 1, for heavy signatures: signature, group, first set of the group.
+_EDGES = "kind int, sig long, ax long, aid long, bx long, bid long, weight long"
+
+
+def _edge_rows(kind: int, sig, ax, aid, bx, bid, weight) -> pa.RecordBatch:
+    columns = [np.full(len(ax), kind, np.int32), *(np.asarray(c, np.int64) for c in (sig, ax, aid, bx, bid, weight))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "sig", "ax", "aid", "bx", "bid", "weight"])
+
+
+def _groups_to_edges(key: np.ndarray, x: np.ndarray, ids: np.ndarray, sim: Similarity, costs: Costs, known: set[int]):
+    """Edges of whole groups, from rows in order of (key, x, id)."""
+    same = np.zeros(len(key), bool)
+    same[1:] = (key[1:] == key[:-1]) & (x[1:] == x[:-1]) & (ids[1:] == ids[:-1])
+    key, x, ids = key[~same], x[~same], ids[~same]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.concatenate([start, [len(key)]]))
+    hot = costs.of(key[start].astype(_U) >> _U(6)) >= _HOT
+    if hot.any():
+        at = start[hot]
+        yield _edge_rows(2, key[at] >> 6, x[at], ids[at], x[at], ids[at], np.zeros(len(at)))
+    held = size > 1
+    if not held.any():
+        return
+    member = np.repeat(held, size)
+    x, ids, size, hot = x[member], ids[member], size[held], hot[held]
+    start = np.cumsum(size) - size
+    group = np.add.reduceat(mix(ids.astype(_U) + mix(x.astype(_U))), start) ^ hot.astype(_U)
+    _, once, times = np.unique(group, return_index=True, return_counts=True)
+    tiny = x[start[once] + size[once] - 1] <= sim.tiny
+    weight = np.where(tiny, _MOST, times)
+    for n in range(2, _SMALL + 1):
+        mine = (size[once] == n) & ~hot[once]
+        if mine.any():
+            a, b = np.triu_indices(n, 1)
+            i, j = (start[once[mine]][:, None] + k for k in (a, b))
+            i, j, w = i.ravel(), j.ravel(), np.repeat(weight[mine], len(a))
+            near = x[j] * sim.num <= x[i] * sim.den
+            i, j, w = i[near], j[near], w[near]
+            if len(i):
+                yield _edge_rows(0, np.zeros(len(i)), x[i], ids[i], x[j], ids[j], w)
+    large = once[((size[once] > _SMALL) | hot[once])]
+    large = large[[int(g) not in known for g in group[large].tolist()]] if len(large) else large
+    if len(large):
+        if len(known) < 1_000_000:
+            known.update(group[large].tolist())
+        first = np.repeat(start[large], size[large] - 1)
+        rank = np.arange(len(first)) - np.repeat(np.cumsum(size[large] - 1) - (size[large] - 1), size[large] - 1)
+        j = first + 1 + rank
+        yield _edge_rows(1, np.zeros(len(j)), x[first], ids[first], x[j], ids[j], np.full(len(j), _MOST))
+
+
+def _group_task(batches: Iterator[pa.RecordBatch], sim: Similarity, costs: Costs):
+    """From rows in order of (key, x, id), the sets that share a key.
+
+    Rows of kind 0: two sets of a small group and how many signatures have just that group; of kind 1: a set of a large
+    group, or of a salted signature, and the group's first; of kind 2: a salted signature and the first set of its salt.
     """
     known: set[int] = set()
-
-    def work(key: np.ndarray, x: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
-        same = np.zeros(len(key), bool)
-        same[1:] = (key[1:] == key[:-1]) & (x[1:] == x[:-1]) & (ids[1:] == ids[:-1])
-        key, x, ids = key[~same], x[~same], ids[~same]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.concatenate([start, [len(key)]]))
-        hot = np.zeros(len(start), bool)
-        if len(heavy):
-            sig = key[start].astype(_U) >> _U(6)
-            hot = heavy[np.minimum(np.searchsorted(heavy, sig), len(heavy) - 1)] == sig
-        held = (size > 1) | hot
-        if not held.any():
-            return None
-        member = np.repeat(held, size)
-        key, x, ids = key[member], x[member], ids[member]
-        size, hot = size[held], hot[held]
-        start = np.cumsum(size) - size
-        group = np.add.reduceat(mix(ids.astype(_U) + mix(x.astype(_U))), start).astype(np.int64)
-        up = (group[hot], key[start[hot]] >> 6, x[start[hot]], ids[start[hot]])
-        _, once = np.unique(group, return_index=True)
-        once = np.sort([k for k in once.tolist() if int(group[k]) not in known])
-        if len(known) < 2_000_000:
-            known.update(group[once].tolist())
-        picked = np.zeros(len(group), bool)
-        picked[once] = True
-        rows = np.repeat(picked, size)
-        x, ids, of = x[rows], ids[rows], np.repeat(group[picked], size[picked])
-        size = size[picked]
-        start = np.cumsum(size) - size
-        pivot = np.repeat(start, size)
-        far = (x >> _EXTRA) * sim.num > (x[pivot] >> _EXTRA) * sim.den
-        for g in np.unique(np.searchsorted(start, np.flatnonzero(far), "right") - 1).tolist():
-            now = start[g]
-            for k in range(start[g], start[g] + size[g]):
-                if (x[k] >> _EXTRA) * sim.num > (x[now] >> _EXTRA) * sim.den:
-                    now = k
-                pivot[k] = now
-        kind = np.concatenate([np.zeros(len(x), np.int32), np.ones(len(up[0]), np.int32)])
-        columns = [np.concatenate(c) for c in ((of, up[0]), (x, up[2]), (ids, up[3]), (x[pivot], up[1]), (ids[pivot], np.zeros(len(up[0]), np.int64)))]
-        return pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, columns)], ["kind", "g", "x", "id", "px", "pid"])
-
     held: list[tuple] = []
     rows = 0
     for batch in batches:
@@ -279,20 +312,21 @@ def _group_task(batches: Iterator[pa.RecordBatch], sim: Similarity, heavy: np.nd
             key, x, ids = (np.concatenate(c) for c in zip(*held, strict=True))
             end = int(np.searchsorted(key, key[-1]))  # the last group may go on
             if end:
-                if (out := work(key[:end], x[:end], ids[:end])) is not None:
-                    yield out
+                yield from _groups_to_edges(key[:end], x[:end], ids[:end], sim, costs, known)
             held, rows = [(key[end:], x[end:], ids[end:])], 0 if end else len(key) // 2
     if held:
         key, x, ids = (np.concatenate(c) for c in zip(*held, strict=True))
-        if len(key) and (out := work(key, x, ids)) is not None:
-            yield out
+        if len(key):
+            yield from _groups_to_edges(key, x, ids, sim, costs, known)
 
 
-_GROUPS = "kind int, g long, x long, id long, px long, pid long"
+def quarter(members: np.ndarray) -> np.ndarray:
+    """32 bits of the members in the smallest quarter of the universe: no two sets differ there by more than in all."""
+    return np.unique((members[members < _U(1 << 62)] >> _U(30)).astype(np.uint32))
 
 
-def _sets_task(batches: Iterator[pa.RecordBatch], sim: Similarity, bits: np.ndarray):
-    """(x, id, set) of the sets whose bits are all set in the filter."""
+def _sets_task(batches: Iterator[pa.RecordBatch], sim: Similarity, bits: np.ndarray, whole: bool):
+    """(x, id, set or its quarter) of the sets whose bits are all set in the filter."""
     seen: set = set()
     for batch in batches:
         for _, u, sizes in shingle_sets(batch.column(1), sim.k):
@@ -302,7 +336,7 @@ def _sets_task(batches: Iterator[pa.RecordBatch], sim: Similarity, bits: np.ndar
             if found.any():
                 some, n = _only(u, sizes, found)
                 ends = np.cumsum(n)
-                sets = [some[b - k : b].tobytes() for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
+                sets = [(some[b - k : b] if whole else quarter(some[b - k : b])).tobytes() for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x[found]), pa.array(ids[found]), pa.array(sets, pa.binary())], ["x", "id", "members"])
 
 
@@ -329,47 +363,100 @@ def _filter_task(batches: Iterator[pa.RecordBatch], bits: int):
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(own[at].astype(np.int32))], ["at", "value"])
 
 
-def _verify_task(batches: Iterator[pa.RecordBatch], sim: Similarity):
-    """From rows in order of (pivot, salt, kind): a pivot's set, then its partners'. Yields links."""
-    now, members = None, np.zeros(0, _U)
+def spanning_links(members: list[np.ndarray], sim: Similarity, sizes: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sorted sets of distinct shingles, by an inverted index over all of them.
+
+    With ``sizes`` the members are quarters of sets of those sizes, and the links are the pairs that may be similar.
+    """
+    size = np.array([len(m) for m in members])
+    full = None if sizes is None else np.array(sizes)
+    owner = np.repeat(np.arange(len(members)), size)
+    values, number = np.unique(np.concatenate(members), return_inverse=True)
+    count = np.bincount(number, minlength=len(values))
+    order = np.argsort(number, kind="stable")
+    owners, begin = owner[order], np.cumsum(count) - count
+    ends = np.cumsum(size)
+    label, forest = np.arange(len(members)), []
+    for k in range(len(members)):
+        mine = number[ends[k] - size[k] : ends[k]]
+        mine = mine[count[mine] > 1]
+        if full is None and not len(mine):
+            continue
+        n = count[mine]
+        at = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(owners[at], minlength=len(members))
+        if full is None:
+            linked = np.flatnonzero(sim.den * both >= sim.num * (size[k] + size - both))
+        else:
+            linked = np.flatnonzero(size[k] + size - 2 * both <= sim.differences(full[k] + full))
+        others = linked[label[linked] != label[k]]
+        for other in np.unique(label[others]).tolist():
+            forest.append((int(others[label[others] == other][0]), k))
+            label[label == other] = label[k]
+            others = others[label[others] != label[k]]
+    return forest
+
+
+def _join_task(batches: Iterator[pa.RecordBatch], sim: Similarity, whole: bool):
+    """From rows in order of (part, i, j): the links within each task's sets."""
+    now: tuple | None = None
+    held: dict[tuple[int, int], np.ndarray] = {}
+
+    def done():
+        nodes = list(held)
+        found = spanning_links([held[n] for n in nodes], sim, None if whole else [x for x, _ in nodes]) if len(nodes) > 1 else []
+        held.clear()
+        if found:
+            columns = zip(*((*nodes[a], *nodes[b]) for a, b in found), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["ax", "aid", "bx", "bid"])
+
     for batch in batches:
-        px, pid, kind, x, ids, sets = (c.to_pylist() if k < 5 else c for k, c in enumerate(batch.columns))
-        out = []
-        for k in range(len(px)):
-            other = np.frombuffer(sets[k].as_buffer(), _U)
-            if kind[k] == 0:
-                now, members = (px[k], pid[k]), other
-            elif now == (px[k], pid[k]):
-                small, large = (members, other) if len(members) < len(other) else (other, members)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                if sim.den * both >= sim.num * (len(members) + len(other) - both):
-                    out.append((px[k], pid[k], x[k], ids[k]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["px", "pid", "x", "id"])
-
-
-def verified(pairs: DataFrame, sets: DataFrame, sim: Similarity, per_task: int = 512) -> DataFrame:
-    """The links among the pairs (px, pid, x, id). A pivot's partners are dealt over as many tasks as they need."""
-    spark = pairs.sparkSession
-    pairs = settle(pairs, "jaccard-pairs")
-    width = pairs.groupBy("px", "pid").agg(F.count(F.lit(1)).alias("n")).select("px", "pid", F.ceil(F.col("n") / per_task).cast("int").alias("width"))
-    salted = pairs.join(width, ["px", "pid"]).withColumn("salt", F.expr("pmod(xxhash64(x, id), width)").cast("int"))
-    theirs = salted.join(sets, ["x", "id"]).select("px", "pid", "salt", F.lit(1).alias("kind"), "x", "id", "members")
-    pivots = width.join(sets.withColumnsRenamed({"x": "px", "id": "pid"}), ["px", "pid"])
-    own = pivots.select("px", "pid", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("id"), "members")
-    dealt = own.unionByName(theirs).repartition(partitions(spark), "px", "pid", "salt").sortWithinPartitions("px", "pid", "salt", "kind")
-    found = dealt.select("px", "pid", "kind", "x", "id", "members").mapInArrow(lambda it: _verify_task(it, sim), "px long, pid long, x long, id long")
-    return settle(found, "jaccard-links")
+        px, pid, i, j, x, ids = (c.to_pylist() for c in batch.columns[:6])
+        sets = batch.column(6)
+        for k in range(batch.num_rows):
+            key = (px[k], pid[k], i[k], j[k])
+            if key != now:
+                yield from done()
+                now = key
+            held[x[k], ids[k]] = np.frombuffer(sets[k].as_buffer(), _U if whole else np.uint32)
+    yield from done()
+
+
+def _sets_of(chosen: DataFrame, needed: DataFrame, sim: Similarity, filter_bits: int, whole: bool) -> DataFrame:
+    """(x, id, members) of the needed nodes, by one scan with a filter of fixed size, then an exact join."""
+    spark = chosen.sparkSession
+    bits = np.zeros(filter_bits // 8, np.uint8)
+    marks = needed.select("x", "id").mapInArrow(lambda it: _filter_task(it, filter_bits), "at long, value int").groupBy("at").agg(F.bit_or("value").alias("value")).toArrow()  # at most filter_bits / 8 rows
+    bits[marks.column(0).to_numpy()] = marks.column(1).to_numpy().astype(np.uint8)
+    sent = spark.sparkContext.broadcast(bits)
+    return chosen.mapInArrow(lambda it: _sets_task(it, sim, sent.value, whole), "x long, id long, members binary").join(needed, ["x", "id"])
+
+
+def joined_parts(chosen: DataFrame, parts: DataFrame, sim: Similarity, block: int, filter_bits: int, whole: bool) -> DataFrame:
+    """(a, b): a spanning forest of the links within each part of the graph (node, label), by whole sets or by quarters."""
+    spark = chosen.sparkSession
+    blocks = parts.groupBy("label").agg(F.ceil(F.sum("node.x") / block).cast("int").alias("blocks"))
+    placed = settle(parts.join(blocks, "label").select("node.x", "node.id", "label", "blocks"), "jaccard-parts")
+    own = F.pmod(F.xxhash64("x", "id"), F.col("blocks")).cast("int")
+    sets = _sets_of(chosen, placed, sim, filter_bits, whole).withColumn("own", own)
+    tasks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = sets.select("label", "own", tasks.alias("other"), "x", "id", "members").select(F.col("label.x").alias("px"), F.col("label.id").alias("pid"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "x", "id", "members")
+    dealt = dealt.repartition(partitions(spark), "px", "pid", "i", "j").sortWithinPartitions("px", "pid", "i", "j")
+    found = dealt.mapInArrow(lambda it: _join_task(it, sim, whole), "ax long, aid long, bx long, bid long")
+    return settle(found.select(_node("ax", "aid").alias("a"), _node("bx", "bid").alias("b")), "jaccard-links" if whole else "jaccard-likely")
 
 
 def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
     """(node, label) for the nodes of the edges (a, b): label is the least node of the component.
 
     Alternating large-star and small-star steps (Kiveris et al., "Connected components in MapReduce and beyond"), each
-    settled in the shared folder; nothing but a checksum comes to the driver.
+    settled in the shared folder; nothing but a checksum comes to the driver. The many small plans are not compiled.
     """
+    with settings(edges.sparkSession, spark__sql__codegen__wholeStage="false"):
+        return _components(edges, tag, max_rounds)
+
+
+def _components(edges: DataFrame, tag: str, max_rounds: int) -> DataFrame:
     now = settle(edges.where("a <> b").select("a", "b").distinct(), tag)
     last = None
     for _ in range(max_rounds):
@@ -393,73 +480,63 @@ def _node(x: str, i: str):
 
 @dataclass
 class Join:
-    """``documents``: doc_id, n_shingles, node. ``links``: a, b, verified; they span every component. ``classes``: node, label."""
+    """``documents``: doc_id, x, id, n_shingles. ``links``: a, b, verified; they span every component. ``classes``: node, label."""
 
     documents: DataFrame
     links: DataFrame
     classes: DataFrame
 
 
+def _costs(scan: DataFrame, most: int) -> Costs:
+    """The most frequent signatures of the summaries, at most ``most`` of them."""
+    counted = settle(scan.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")), "jaccard-frequent")
+    by = counted.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).count().collect()  # at most 63 rows
+    least, held = 99, 0
+    for row in sorted(by, key=lambda r: -r["p"]):
+        if held + row["count"] > most:
+            break
+        least, held = row["p"], held + row["count"]
+    table = counted.where(F.floor(F.log2("n")) >= least).select("id", F.least(F.floor(F.log2("n")), F.lit(15)).cast("int").alias("p")).toArrow()  # at most ``most`` rows
+    known, power = table.column(0).to_numpy().astype(_U), table.column(1).to_numpy()
+    order = np.argsort(known)
+    return Costs(known[order], power[order].astype(np.uint8))
+
+
 def jaccard_join(
-    docs: DataFrame, *, similarity: Similarity | None = None, id_col: str = "doc_id", text_col: str = "text", summary: int = 4096, heavy_from: int = 64, heavy_most: int = 1 << 20, filter_bits: int = 1 << 21
+    docs: DataFrame, *, similarity: Similarity | None = None, id_col: str = "doc_id", text_col: str = "text", summary: int = 1 << 16, known: int = 1 << 18, filter_bits: int = 1 << 21, block: int = 1 << 20
 ) -> Join:
     """Finds links between documents whose shingle sets are similar; see the module for the method.
 
     A null text is empty; an empty text, or one without words, is linked with nothing. A text with fewer words than a
     shingle is one shingle. Rows with equal sets, repeated rows included, are one node. An empty table gives empty
-    results. Other columns are ignored. ``summary``, ``heavy_from`` and ``heavy_most`` bound what is known of frequent
-    signatures and change the cost alone; so does ``filter_bits``, the fixed size of the filter sent to the scan.
+    results. Other columns are ignored. ``summary`` (signatures a task reports) and ``known`` (signatures sent to tasks)
+    bound what is known of frequencies and change the cost alone; so do ``filter_bits``, the fixed size of the filter
+    sent to the scan, and ``block``, the shingles that a task of the exact join holds at most twice.
     """
     spark, sim = docs.sparkSession, similarity or Similarity()
     on_workers(spark)
     chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    scan = settle(chosen.mapInArrow(lambda it: _scan_task(it, sim, summary), "kind int, doc_id long, x long, id long, n long"), "jaccard-scan")
+    scan = settle(chosen.mapInArrow(lambda it: _scan_task(it, sim, summary), _SCAN), "jaccard-scan")
     documents = scan.where("kind = 0").select("doc_id", "x", "id", F.col("n").alias("n_shingles"))
-    counted = scan.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= heavy_from)
-    frequent = counted.orderBy(F.desc("n"), "id").limit(heavy_most).select("id").toArrow()  # at most ``heavy_most`` numbers
-    heavy = np.sort(frequent.column(0).to_numpy().astype(_U))
-    sent = spark.sparkContext.broadcast(heavy)
+    sent = spark.sparkContext.broadcast(_costs(scan, known))
 
     index = chosen.mapInArrow(lambda it: _index_task(it, sim, sent.value), "key long, x long, id long")
     dealt = index.repartition(partitions(spark), "key").sortWithinPartitions("key", "x", "id")
-    grouped = settle(dealt.mapInArrow(lambda it: _group_task(it, sim, sent.value), _GROUPS), "jaccard-groups")
-
-    groups = grouped.where("kind = 0").select("g", "x", "id", "px", "pid").distinct()
-    parts = grouped.where("kind = 1").select(F.col("px").alias("sig"), "g", "x", "id").distinct()
-    first = parts.groupBy("sig").agg(F.min(_node("x", "id")).alias("first"), F.bit_xor(F.xxhash64("g")).alias("top"))
-    joined = settle(parts.join(first, "sig").select("top", "g", "x", "id", F.col("first.x").alias("px"), F.col("first.id").alias("pid")).distinct(), "jaccard-heavy")
-    groups = settle(groups, "jaccard-members")
-    pairs = groups.select("px", "pid", "x", "id").unionByName(joined.select("px", "pid", "x", "id"))
-    pairs = pairs.where((F.col("px") != F.col("x")) | (F.col("pid") != F.col("id"))).distinct()
-    pairs = settle(pairs, "jaccard-star")
-
-    bits = np.zeros(filter_bits // 8, np.uint8)
-    needed = groups.select("x", "id").distinct()
-    marks = needed.mapInArrow(lambda it: _filter_task(it, filter_bits), "at long, value int").groupBy("at").agg(F.bit_or("value").alias("value")).toArrow()  # at most filter_bits / 8 rows
-    bits[marks.column(0).to_numpy()] = marks.column(1).to_numpy().astype(np.uint8)
-    bits_sent = spark.sparkContext.broadcast(bits)
-    sets = chosen.mapInArrow(lambda it: _sets_task(it, sim, bits_sent.value), "x long, id long, members binary")
-    sets = settle(sets.join(needed, ["x", "id"], "left_semi").dropDuplicates(["x", "id"]), "jaccard-sets")
-
-    links = verified(pairs, sets, sim).select(_node("px", "pid").alias("a"), _node("x", "id").alias("b"))
+    found = settle(dealt.mapInArrow(lambda it: _group_task(it, sim, sent.value), _EDGES), "jaccard-groups")
+
+    ends = ["ax", "aid", "bx", "bid"]
+    enough = F.greatest(F.lit(_LEAST), F.least(F.lit(_MOST), F.floor(F.col("ax") / _PER)))  # a is the smaller set
+    pairs = found.where("kind = 0").groupBy(*ends).agg(F.sum("weight").alias("weight")).where(F.col("weight") >= enough).select(*ends)
+    stars = found.where("kind = 1").select(*ends)
+    salted = found.where("kind = 2").select("sig", _node("ax", "aid").alias("b"))
+    first = salted.groupBy("sig").agg(F.min("b").alias("a"))
+    across = salted.join(first, "sig").select("a", "b")
+    edges = pairs.unionByName(stars).select(_node("ax", "aid").alias("a"), _node("bx", "bid").alias("b")).unionByName(across)
+    parts = settle(components(edges, "jaccard-candidates"), "jaccard-candidates")
+    likely = joined_parts(chosen, parts, sim, block, filter_bits, whole=False)
+    parts = settle(components(likely, "jaccard-likely"), "jaccard-likely")
+    links = joined_parts(chosen, parts, sim, block, filter_bits, whole=True)
     classes = settle(components(links, "jaccard-components"), "jaccard-classes")
-
-    # Pairs of a group that lie in different components and have not been compared.
-    members = groups.select("g", "x", "id").unionByName(joined.select(F.col("top").alias("g"), F.col("g").alias("part")).distinct().join(groups.select(F.col("g").alias("part"), "x", "id"), "part").select("g", "x", "id")).distinct()
-    labelled = members.withColumn("node", _node("x", "id")).join(classes, "node", "left").select("g", "x", "id", F.coalesce("label", "node").alias("label"))
-    labelled = settle(labelled, "jaccard-labelled")
-    open_ = labelled.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("g")
-    left = labelled.join(open_, "g", "left_semi")
-    right = left.withColumnsRenamed({"x": "x2", "id": "id2", "label": "label2"})
-    size = lambda c: F.shiftright(c, _EXTRA)
-    rest = left.join(right, "g").where("label <> label2 and (x < x2 or x = x2 and id < id2)").where(size("x2") * sim.num <= size("x") * sim.den)
-    rest = rest.select(F.col("x").alias("px"), F.col("id").alias("pid"), F.col("x2").alias("x"), F.col("id2").alias("id")).distinct()
-    tested = pairs.select(F.least(_node("px", "pid"), _node("x", "id")).alias("a"), F.greatest(_node("px", "pid"), _node("x", "id")).alias("b"))
-    rest = rest.withColumn("a", _node("px", "pid")).withColumn("b", _node("x", "id")).join(tested, ["a", "b"], "left_anti").drop("a", "b")
-    more = verified(rest, sets, sim).select(_node("px", "pid").alias("a"), _node("x", "id").alias("b"))
-    if not more.isEmpty():
-        links = settle(links.unionByName(more), "jaccard-links")
-        classes = settle(components(links, "jaccard-components"), "jaccard-classes")
     return Join(documents, links, classes)
 
 
