@@ -2,7 +2,8 @@
 
 Weights. Words and their beginnings are counted by labelled documents that hold them. A word's share of toxic documents
 is drawn towards that of its longest known beginning, and so on up to the share of all (nested Dirichlet priors); the
-weight is the difference of log-odds to the share of all.
+weight is the difference of log-odds to the share of all, for a share that is lower by 1.5 posterior standard deviations:
+a word seen a few times proves little.
 
 Scan. Each text is one pass over its words: a running sum of weight less drift that starts anew at zero. Its largest
 value is the maximum-scoring segment; texts where that is significant are cut into all maximal segments (Ruzzo and
@@ -39,6 +40,7 @@ class Model:
     total: np.ndarray
     share: float
     strength: float = 4.0
+    doubt: float = 1.5
     drift: float = 1.0
     cap: float = 8.0
     lam: float = 1.0
@@ -52,12 +54,14 @@ class Model:
         if not len(self.keys):
             return np.full(len(numbers), -self.drift)
         _, first, back = np.unique(numbers, return_index=True, return_inverse=True)
-        p = np.full(len(first), self.share)
+        p, seen = np.full(len(first), self.share), np.zeros(len(first))
         for k, level in zip((*PREFIXES, 0), (*heads, numbers), strict=True):
             key = level[first]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             known = (self.keys[at] == key) & (lengths[first] > k)
             p = np.where(known, (self.toxic[at] + self.strength * p) / (self.total[at] + self.strength), p)
+            seen = np.where(known, self.total[at], seen)
+        p = np.maximum(p - self.doubt * np.sqrt(p * (1 - p) / (seen + self.strength + 1)), self.share / 8)
         w = np.log(p / (1 - p)) - math.log(self.share / (1 - self.share))
         return (np.clip(w, -self.cap, self.cap) - self.drift)[back]
 
@@ -66,7 +70,12 @@ class Model:
         return self.lam * np.asarray(score) - np.log(np.maximum(self.k * np.asarray(n), 1))
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.offset, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * squeezed(evidence) + self.offset, -50, 50)))
+
+
+def squeezed(evidence):
+    """Evidence on a scale where many passages say little more than a few."""
+    return np.log1p(np.maximum(evidence, 0)) + np.minimum(evidence, 0) / 20
 
 
 def best_segments(w: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -242,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         model.k = float(clean.sum() / (n_words * np.exp(-model.lam * best))[clean].sum())
     y, _, _, evidence = judged()  # with K
     if 0 < y.sum() < len(y):
-        model.slope, model.offset = _logistic(evidence, y)
+        model.slope, model.offset = _logistic(squeezed(evidence), y)
     return model
 
 
