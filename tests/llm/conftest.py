@@ -1,7 +1,6 @@
 import os
 import sys
 
-import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-pytest.importorskip("tidemark.llm")
+

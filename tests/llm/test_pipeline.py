@@ -1,8 +1,7 @@
 import random
 
-import pytest
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
+import corpus_pipeline
 
 
 def test_stages_take_effect(spark, tmp_path):
