@@ -182,6 +182,12 @@ def test_benjamini_hochberg(spark, ps):
         assert got[i] == (None, False) if p is None else got[i][0] == pytest.approx(adjusted[i]) and got[i][1] == (adjusted[i] <= 0.05 + 1e-12)
 
 
+def test_published_proportions(spark):
+    rows = spark.createDataFrame([(1, 1)] * 53 + [(1, 0)] * 29 + [(2, 1)] * 41 + [(2, 0)] * 12, "g int, ok int")
+    row = statistics.two_proportions(rows, F.col("g") == 1, F.col("ok") == 1).first()
+    assert row["z"] == pytest.approx(-1.5700, abs=1e-3)
+
+
 def test_permutation_matches_enumeration(spark):
     from itertools import combinations
 

@@ -93,13 +93,16 @@ def carry_forward(weekly: DataFrame, calendar: DataFrame, columns: list[str], ke
 
 
 def as_of(left: DataFrame, right: DataFrame, columns: list[str], on: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Each left row with the right values last known at its time: union and carry, no range join."""
+    """Each left row with the right values last known at its time: union and carry, no range join.
+
+    Only the distinct (keys, time) of the left side are ordered; its rows then take the values by an equi-join.
+    """
     names = [f"_r_{c}" for c in columns]
-    a = left.select("*", *(F.lit(None).cast(right.schema[c].dataType).alias(n) for c, n in zip(columns, names, strict=True)), F.lit(1).alias("_side"))
+    a = left.select(*keys, on).distinct().select("*", *(F.lit(None).cast(right.schema[c].dataType).alias(n) for c, n in zip(columns, names, strict=True)), F.lit(1).alias("_side"))
     b = right.select(*keys, on, *(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)), F.lit(0).alias("_side"))
-    both = a.unionByName(b, allowMissingColumns=True)
     w = Window.partitionBy(*(keys or (F.lit(0),))).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumns({n: F.last(n, ignorenulls=True).over(w) for n in names}).where("_side = 1")
+    known = a.unionByName(b).withColumns({n: F.last(n, ignorenulls=True).over(w) for n in names}).where("_side = 1").drop("_side")
+    out = left.join(known, [*keys, on], "left")
     return out.select(*left.columns, *(F.col(n).alias(c) for c, n in zip(columns, names, strict=True)))
 
 
