@@ -77,13 +77,16 @@ def mean_off_diagonal(pairs: DataFrame) -> DataFrame:
 
 
 def design_effect(differences: DataFrame, rbar: DataFrame, value: str) -> DataFrame:
-    """One row: mean paired difference, its plain t, DEFF = 1 + (N-1) rbar, the deflated t, effective N and df."""
+    """One row: mean paired difference, its plain t, DEFF = 1 + (N-1) rbar, the deflated t, effective N and df.
+
+    A DEFF that is not positive (beyond rounding) leaves the deflated numbers null.
+    """
     out = differences.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n")).crossJoin(rbar)
     n = F.col("n").cast("double")
     t = F.try_divide(F.col("mean"), F.try_divide(F.col("sd"), F.sqrt(n)))
     deff = 1 + (n - 1) * F.col("rbar")
-    root = F.sqrt(F.when(deff > 0, deff))
-    return out.select("mean", "sd", "n", "rbar", t.alias("t_naive"), deff.alias("deff"), F.try_divide(t, root).alias("t_deff"), F.try_divide(n, deff).alias("n_eff"), F.try_divide(n - 1, deff).alias("df_eff"))
+    some = F.when(deff > 1e-9, deff)
+    return out.select("mean", "sd", "n", "rbar", t.alias("t_naive"), deff.alias("deff"), (t / F.sqrt(some)).alias("t_deff"), (n / some).alias("n_eff"), ((n - 1) / some).alias("df_eff"))
 
 
 def correlation_weighted_variance(errors: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def _asset_gap(spark, d):
 _GAP = "gap AS (SELECT asset, avg(ret) FILTER (d_infrastructure = 1) - avg(ret) FILTER (d_regulatory = 1) AS gap, stddev_samp(ret) AS se FROM dummies GROUP BY 1)"
 
 
-@query(_with(_PAIRS + ", " + _GAP, """SELECT round(m, 6) + 0 AS mean, round(s, 6) AS sd, n, round(rbar, 6) + 0 AS rbar, round(m / (s / sqrt(n)), 6) + 0 AS t_naive, round(deff, 6) + 0 AS deff, round(m / (s / sqrt(n)) / CASE WHEN deff > 0 THEN sqrt(deff) END, 6) + 0 AS t_deff, round(n / nullif(deff, 0), 6) + 0 AS n_eff, round((n - 1) / nullif(deff, 0), 6) + 0 AS df_eff
+@query(_with(_PAIRS + ", " + _GAP, """SELECT round(m, 6) + 0 AS mean, round(s, 6) AS sd, n, round(rbar, 6) + 0 AS rbar, round(m / (s / sqrt(n)), 6) + 0 AS t_naive, round(deff, 6) + 0 AS deff, round(m / (s / sqrt(n)) / sqrt(CASE WHEN deff > 1e-9 THEN deff END), 6) + 0 AS t_deff, round(n / CASE WHEN deff > 1e-9 THEN deff END, 6) + 0 AS n_eff, round((n - 1) / CASE WHEN deff > 1e-9 THEN deff END, 6) + 0 AS df_eff
   FROM (SELECT *, 1 + (n - 1) * rbar AS deff FROM (SELECT avg(gap) AS m, stddev_samp(gap) AS s, count(gap) AS n FROM gap) CROSS JOIN (SELECT avg(corr) AS rbar FROM prs WHERE a <> b))"""))
 def k8_design_effect(spark, d):
     rbar = st.mean_off_diagonal(st.correlations(rets(spark, d))).select("rbar")
