@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,9 +10,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tidemark.workers import on_workers  # noqa: F401  (operators take it from here)
+
 #: Spark deletes the shuffle files of a finished write while this is on.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,13 +32,6 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
 
 
-def on_workers(spark: SparkSession) -> None:
-    """Lets Python workers started from now on import this package from where the driver has it."""
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), _ROOT) if x)
-
-
 @contextlib.contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings for the jobs inside; dots are written as double underscores."""
@@ -53,7 +46,7 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def settle(df: DataFrame, tag: str, partition_by: str | None = None, **options: str) -> DataFrame:
+def settle(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns the reread table: a cut of the lineage that outlives executors.
 
     The shuffle files of the write are freed when it ends.
@@ -61,8 +54,7 @@ def settle(df: DataFrame, tag: str, partition_by: str | None = None, **options:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     with settings(spark, **{_CLEANUP.replace(".", "__"): "true"}):
-        out = df.write.options(**options)
-        (out.partitionBy(partition_by) if partition_by else out).parquet(path)
+        df.write.options(**options).parquet(path)
     return spark.read.schema(nullable(df.schema)).parquet(path)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -56,7 +56,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(texts: pa.Array, max_rows: int = 1000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, where each text begins and the last one ends) for runs of rows of about a megabyte."""
+    """(first row, bytes, where each text begins and the last one ends) for runs of rows of about half a megabyte."""
     texts = texts.fill_null("")
     if not len(texts):
         return
