@@ -137,6 +137,24 @@ def test_awkward_documents(spark):
     assert jaccard.near_duplicate_classes(empty(spark)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    text = lambda tag: " ".join(f"{tag}{k}" for k in range(60))
+    near = lambda tag: text(tag) + " end"
+    rows = [
+        (1, text("a"), "stays"), (None, near("a"), "goes"), (None, text("b"), "stays"), (None, text("c"), "stays"),
+        (None, text("d"), "one"), (None, near("d"), "one"),
+        (5, text("e"), "stays"), (5, text("f"), "goes"), (4, near("f"), "least"),
+        (6, text("g"), "two"), (6, near("g"), "two"), (7, text("g") + " of it", "goes"),
+        (8, text("h"), "three"), (8, text("h"), "three"), (8, text("h").upper(), "three"),
+        (9, "", "stays"), (9, None, "stays"), (None, " ", "stays"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fate string").repartition(3)
+    kept = jaccard.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["fate"], (r["text"] or "")[:1].lower()) for r in kept.collect())
+    assert got == sorted([("stays", t) for t in ("a", "b", "c", "e", "", "", " ")] + [("least", "f"), ("one", "d"), ("two", "g"), ("three", "h")])
+
+
 def test_components(spark):
     rnd = random.Random(4)
     pairs = [(rnd.randint(0, 120), rnd.randint(0, 120)) for _ in range(70)] + [(k, k + 1) for k in range(200, 230)]

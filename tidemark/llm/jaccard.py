@@ -212,24 +212,24 @@ class _Summary:
         self.sig, self.n = sig, n
 
 
-_SCAN = "kind int, doc_id long, x long, id long, n long"
+_SCAN = "kind int, doc_id long, row long, x long, id long, n long"
 
 
 def _scan_task(batches: Iterator[pa.RecordBatch], sim: Similarity, keep: int):
-    """Rows of kind 0: a document's id, x, id and size; of kind 1: a signature (id) and how often (n) the task has it."""
-    names, seen, summary = ["kind", "doc_id", "x", "id", "n"], set(), _Summary(keep)
+    """Rows of kind 0: a document's id, row, x, id and size; of kind 1: a signature (id) and how often (n) the task has it."""
+    names, seen, summary = ["kind", "doc_id", "row", "x", "id", "n"], set(), _Summary(keep)
     for batch in batches:
         for first, u, sizes in shingle_sets(batch.column(1), sim.k):
             x, ids = identities(u, sizes)
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).slice(first, n), pa.array(x), pa.array(ids), pa.array(sizes)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.array(x), pa.array(ids), pa.array(sizes)], names)
             for _, sig, _ in signatures(*_only(u, sizes, _new(x, ids, seen)), sim):
                 summary.add(sig)
     summary.flush()
     m = len(summary.sig)
     if m:
         zero = pa.array(np.zeros(m, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), zero, zero, pa.array(summary.sig.astype(np.int64)), pa.array(summary.n)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), zero, zero, zero, pa.array(summary.sig.astype(np.int64)), pa.array(summary.n)], names)
 
 
 def _index_task(batches: Iterator[pa.RecordBatch], sim: Similarity, costs: Costs):
@@ -480,7 +480,7 @@ def _node(x: str, i: str):
 
 @dataclass
 class Join:
-    """``documents``: doc_id, x, id, n_shingles. ``links``: a, b, verified; they span every component. ``classes``: node, label."""
+    """``documents``: doc_id, row, x, id, n_shingles. ``links``: a, b, verified; they span every component. ``classes``: node, label."""
 
     documents: DataFrame
     links: DataFrame
@@ -503,21 +503,21 @@ def _costs(scan: DataFrame, most: int) -> Costs:
 
 
 def jaccard_join(
-    docs: DataFrame, *, similarity: Similarity | None = None, id_col: str = "doc_id", text_col: str = "text", summary: int = 1 << 16, known: int = 1 << 18, filter_bits: int = 1 << 21, block: int = 1 << 20
+    docs: DataFrame, *, similarity: Similarity | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, summary: int = 1 << 16, known: int = 1 << 18, filter_bits: int = 1 << 21, block: int = 1 << 20
 ) -> Join:
     """Finds links between documents whose shingle sets are similar; see the module for the method.
 
     A null text is empty; an empty text, or one without words, is linked with nothing. A text with fewer words than a
     shingle is one shingle. Rows with equal sets, repeated rows included, are one node. An empty table gives empty
-    results. Other columns are ignored. ``summary`` (signatures a task reports) and ``known`` (signatures sent to tasks)
+    results. ``row_col`` (long) is passed on as ``row``; other columns are ignored. ``summary`` (signatures a task reports) and ``known`` (signatures sent to tasks)
     bound what is known of frequencies and change the cost alone; so do ``filter_bits``, the fixed size of the filter
     sent to the scan, and ``block``, the shingles that a task of the exact join holds at most twice.
     """
     spark, sim = docs.sparkSession, similarity or Similarity()
     on_workers(spark)
-    chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(None).cast("long").alias("row") if row_col is None else F.col(f"`{row_col}`").alias("row"))
     scan = settle(chosen.mapInArrow(lambda it: _scan_task(it, sim, summary), _SCAN), "jaccard-scan")
-    documents = scan.where("kind = 0").select("doc_id", "x", "id", F.col("n").alias("n_shingles"))
+    documents = scan.where("kind = 0").select("doc_id", "row", "x", "id", F.col("n").alias("n_shingles"))
     sent = spark.sparkContext.broadcast(_costs(scan, known))
 
     index = chosen.mapInArrow(lambda it: _index_task(it, sim, sent.value), "key long, x long, id long")
@@ -557,11 +557,19 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: Similarity | None = N
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows that stay, with all their columns: of each component those whose id is the component's least.
+    """The rows that stay, with all their columns: of each component one, of those with the least id; a null id counts as the greatest.
 
-    Documents without words all stay. Rows that repeat an id and lie in one component stay together.
+    Rows are told apart by a number settled with them before the scan, never by their ids, which may be null or repeated.
+    Documents without words all stay.
     """
-    classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, **options)
-    name = free_name(docs.columns, "_gone")
-    gone = settle(classes.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias(name)).distinct(), "jaccard-gone")
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[name]), "left_anti")
+    name = free_name(docs.columns, "_row")
+    rows = settle(docs.withColumn(name, F.monotonically_increasing_id()), "jaccard-rows")
+    joined = jaccard_join(rows, id_col=id_col, text_col=text_col, row_col=name, **options)
+    documents = joined.documents.where("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    nodes = documents.groupBy("x", "id").agg(first.alias("first")).withColumn("node", _node("x", "id"))
+    labelled = nodes.join(joined.classes, "node", "left").select("x", "id", "first", F.coalesce("label", "node").alias("label"))
+    kept = labelled.groupBy("label").agg(F.min("first").alias("kept"))
+    named = settle(labelled.join(kept, "label").select("x", "id", F.col("kept.row").alias("kept")), "jaccard-kept")
+    gone = settle(documents.join(named, ["x", "id"]).where("row <> kept").select(F.col("row").alias(name)), "jaccard-gone")
+    return rows.join(gone, name, "left_anti").drop(name)
