@@ -145,6 +145,32 @@ def test_collision_rounds(spark, monkeypatch):
     assert out["text"].nunique() == 300 and not set(out["text"]) & {f"(212) 555-{k:04d}" for k in range(300)}
 
 
+def test_names_find_more_room(spark, monkeypatch):
+    """More distinct names than surrogates of the first attempt."""
+    monkeypatch.setattr(pii, "_SYLLABLES", ["ba", "de"])
+    docs = spark.range(60).select(F.concat(F.element_at(F.array(F.lit("Mr K"), F.lit("Господин Ж")), (F.col("id") % 2 + 1).cast("int")), F.translate(F.col("id").cast("string"), "0123456789", "qrstuvwxyz")).alias("text"))
+    docs = docs.withColumn("text", F.when(F.col("text").startswith("Г"), F.translate("text", "qrstuvwxyz", "абвгдежзик")).otherwise(F.col("text")))
+    out = [r["text"] for r in pii.pseudonymise(docs, "k").collect()]
+    assert len(set(out)) == 60 and not set(out) & {r["text"] for r in docs.collect()}
+    assert all(re.fullmatch(r"Mr [A-Z][a-z]+|Господин [А-Я][а-я]+", t) for t in out)
+
+
+def test_every_written_form_is_checked(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_SYLLABLES", ["ba"])
+    monkeypatch.setattr(pii, "_FEMALE_NAMES", ["Anna"])
+    docs = spark.createDataFrame([(1, "Mr Alex Kern"), (2, "Mrs Alex Kern"), (3, "Mrs Cleo Lang")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, "k").collect()}
+    assert out[2].startswith("Mrs Anna ") and out[3].startswith("Mrs Anna ") and out[2] != out[3]
+    assert out[1].split()[2] == out[2].split()[2]
+
+
+def test_collisions_without_room_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_number", lambda canon, kind, stream: F.lit("5550100000"))
+    entities = spark.createDataFrame([("phone", f"212555000{k}", f"(212) 555-000{k}") for k in range(2)], "kind string, canon string, sample string")
+    with pytest.raises(ValueError, match="phone"):
+        pii.attempts_of(entities, "k", max_rounds=2).collect()
+
+
 def test_pii_awkward(spark):
     docs = awkward(spark)
     out = pii.pseudonymise(docs, "k")

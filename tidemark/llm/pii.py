@@ -3,8 +3,9 @@
 One pattern with an alternative for each type cuts a text into gaps and entities. An entity's surrogate is a function of
 a secret key, its type, its canonical form and an attempt number, so the same person, number or address gets the same
 surrogate everywhere without any exchange of data. The distinct entities of the corpus are then checked: two that meet
-in one surrogate, or a surrogate that is a real entity, take the next attempt until all are distinct. Only texts that
-hold such an entity need to be told; they get their attempts by a join, and where there is none the join is left out.
+in one surrogate, or a surrogate that is a real entity, take the next attempt until all are distinct, in every written
+form. Later attempts have more room: names grow by keyed letters, and so do the local parts of e-mail addresses. Types
+of fixed form cannot grow; where their room is too small for the corpus an error says so. Only texts that hold such an entity need to be told; they get their attempts by a join, and where there is none the join is left out.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ _CYRILLIC = "абвгдежзиклмнопрстуфхцчшя"
 _GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
 _MALE_NAMES = ["Adam", "Boris", "Carl", "David", "Emil", "Frank", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Martin", "Nico", "Oscar", "Paul"]
 _FEMALE_NAMES = ["Anna", "Berta", "Clara", "Dora", "Emma", "Frida", "Greta", "Helen", "Irene", "Julia", "Karin", "Laura", "Maria", "Nora", "Olga", "Paula"]
+_MORE = 16  # the most syllables or letters that later attempts add
 _SYLLABLES = ["ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu", "ra", "se", "ti", "vo", "wu", "za"]
 
 _EDGE = r"""[^\s@"'<>(),;:|\[\]{}=]"""
@@ -122,25 +124,32 @@ def _in_format(entity: Column, number: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(entity, ""), lambda c: c != ""), one), "")
 
 
-def _name(entity: Column, canon: Column, stream: Column) -> Column:
-    """Title, then as many names: given names fit the title's gender, a last name is made of keyed syllables."""
+def _name(entity: Column, stream: Column, attempt: Column) -> Column:
+    """Title, then as many names: given names fit the title's gender, a last name is made of keyed syllables.
+
+    Each attempt but the first adds a syllable, or a letter of the script, to the last name.
+    """
+    more = F.least(attempt, F.lit(_MORE))
     title = F.regexp_extract(entity, rf"^(?:{_TITLES})\.? ", 0)
     female = title.rlike(rf"^(?:{'|'.join(_FEMALE)})\b")
     words = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), "[ -]")
     pick = lambda names, x: F.element_at(F.array(*map(F.lit, names)), (x % len(names)) + 1)
     syllable = lambda x: pick(_SYLLABLES, x)
-    last = lambda i: F.initcap(F.concat(*(syllable(_at(stream, i * 5 + k)) for k in range(4))))
+    added = F.array_join(F.transform(F.slice(F.sequence(F.lit(0), F.lit(_MORE)), F.lit(1), more), lambda k: syllable(_at(stream, k + 20))), "")
+    last = lambda i: F.initcap(F.concat(*(syllable(_at(stream, i * 5 + k)) for k in range(4)), added))
     given = lambda i: F.when(female, pick(_FEMALE_NAMES, _at(stream, i * 5))).otherwise(pick(_MALE_NAMES, _at(stream, i * 5)))
 
     def one(w: Column, i: Column) -> Column:
-        return F.when(w.rlike(r"^\p{IsLatin}+$"), F.when(i < F.size(words) - 1, given(i)).otherwise(last(i))).otherwise(_letterwise(w, F.substring(stream, i * 8 + 1, F.length(stream))))
+        longer = F.when(i < F.size(words) - 1, w).otherwise(F.concat(w, F.repeat(F.lower(F.right(w, F.lit(1))), more)))
+        return F.when(w.rlike(r"^\p{IsLatin}+$"), F.when(i < F.size(words) - 1, given(i)).otherwise(last(i))).otherwise(_letterwise(longer, F.substring(stream, i * 8 + 1, F.length(stream))))
 
     return F.concat(title, F.array_join(F.transform(words, one), " "))
 
 
-def surrogate(entity: Column, kind: Column, canon: Column, stream: Column) -> Column:
-    """The replacement of an entity, made of the keyed stream of its canonical form."""
-    local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
+def surrogate(entity: Column, kind: Column, canon: Column, stream: Column, attempt: Column) -> Column:
+    """The replacement of an entity, made of the keyed stream of its canonical form and attempt."""
+    more = F.least(F.greatest(attempt - 3, F.lit(0)), F.lit(_MORE))  # the first attempts at an address keep its length
+    local, domain = F.concat(F.substring_index(entity, "@", 1), F.repeat(F.lit("x"), more)), F.substring_index(entity, "@", -1)
     tld = F.regexp_extract(domain, r"\.[^.]*$", 0)
     name = F.substring(domain, F.lit(1), F.length(domain) - F.length(tld))
     tail = F.substring(stream, F.length(local) * 2 + 1, F.length(stream))
@@ -151,7 +160,7 @@ def surrogate(entity: Column, kind: Column, canon: Column, stream: Column) -> Co
         .when(kind.isin("phone", "card", "national_id"), _let(_number(canon, kind, stream), lambda d: _in_format(entity, d)))
         .when(kind == "secret", F.when(entity.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _hex(entity, stream)).otherwise(F.concat(F.substring(entity, 1, 4), _letterwise(F.substring(entity, F.lit(5), F.length(entity)), stream))))
         .when(kind == "iban", F.concat(F.substring(entity, 1, 2), _letterwise(F.substring(entity, F.lit(3), F.length(entity)), stream)))
-        .otherwise(_name(entity, canon, stream))
+        .otherwise(_name(entity, stream, attempt))
     )
 
 
@@ -170,38 +179,43 @@ def replace_entities(text: Column, key: str, attempts: Column | None = None) ->
     found = F.transform(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), lambda e: F.struct(e.alias("e"), type_of(e).alias("k")))
     found = F.transform(found, lambda x: F.struct(x.e.alias("e"), x.k.alias("k"), canonical(x.e, x.k).alias("c")))
     attempt = (lambda x: F.lit(0)) if attempts is None else (lambda x: F.coalesce(attempts[F.concat_ws("\x1f", x.k, x.c)], F.lit(0)))
-    found = F.transform(found, lambda x: F.struct(x.e.alias("e"), x.k.alias("k"), x.c.alias("c"), _stream(key, x.k, x.c, attempt(x)).alias("s")))
-    made = F.transform(found, lambda x: surrogate(x.e, x.k, x.c, x.s))
+    found = F.transform(found, lambda x: F.struct(x.e.alias("e"), x.k.alias("k"), x.c.alias("c"), attempt(x).alias("a")))
+    found = F.transform(found, lambda x: F.struct(x.e.alias("e"), x.k.alias("k"), x.c.alias("c"), x.a.alias("a"), _stream(key, x.k, x.c, x.a).alias("s")))
+    made = F.transform(found, lambda x: surrogate(x.e, x.k, x.c, x.s, x.a))
     new = F.zip_with(F.split(text, _ANY, -1), made, lambda g, e: F.concat(g, F.coalesce(e, F.lit(""))))
     return F.when(text.rlike(_HINT), F.array_join(new, "")).otherwise(text)
 
 
-def attempts_of(entities: DataFrame, key: str, max_rounds: int = 30) -> DataFrame:
-    """(kind, canon, attempt) for distinct entities (kind, canon, sample), so that all surrogates differ.
+def attempts_of(entities: DataFrame, key: str, max_rounds: int = 100) -> DataFrame:
+    """(kind, canon, attempt) for distinct written forms (kind, canon, sample), so that all surrogates differ.
 
-    In each round, of the entities that share a surrogate the one first in order keeps it; the others, and those whose
-    surrogate is an entity of the corpus, take the next attempt.
+    In each round, of the entities that share a surrogate in any form the one first in order keeps it; the others, and
+    those with a surrogate that is an entity of the corpus, take the next attempt. Collisions that outlast the rounds
+    are an error: the types of fixed form have only so many surrogates.
     """
     now = settle(_with_surrogates(entities.withColumn("attempt", F.lit(0)), key), "pii-entities")
-    real = now.select("kind", F.col("canon").alias("made"))
+    real = now.select("kind", F.col("canon").alias("made")).distinct()
     with settings(entities.sparkSession, spark__sql__codegen__wholeStage="false"):  # small plans, not worth compiling
-        for _ in range(max_rounds):
-            shared = now.groupBy("kind", "made").agg(F.min("canon").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        for left in reversed(range(max_rounds + 1)):
+            shared = now.groupBy("kind", "made").agg(F.min("canon").alias("first"), F.max("canon").alias("last")).where("first <> last")
             late = now.join(shared, ["kind", "made"]).where("canon <> first").select("kind", "canon")
             taken = now.join(real, ["kind", "made"], "left_semi").select("kind", "canon")
             bad = settle(late.unionByName(taken).distinct(), "pii-collisions")
             if bad.isEmpty():
                 break
+            if not left:
+                kinds = {r["kind"]: r["count"] for r in bad.groupBy("kind").count().collect()}  # a row for each type
+                raise ValueError(f"entities without a surrogate of their own after {max_rounds} rounds: {kinds}")
             flagged = now.join(bad.withColumn("bad", F.lit(1)), ["kind", "canon"], "left")
             raised = flagged.where("bad = 1").select("kind", "canon", "sample", (F.col("attempt") + 1).alias("attempt"))
             now = settle(flagged.where("bad is null").drop("bad").unionByName(_with_surrogates(raised, key)), "pii-entities")
-    return now.drop("made")
+    return now.select("kind", "canon", "attempt").distinct()
 
 
 def _with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """Adds ``made``, the canonical form of the surrogate, to (kind, canon, sample, attempt)."""
     told = entities.withColumn("stream", _stream(key, F.col("kind"), F.col("canon"), F.col("attempt")))
-    told = told.withColumn("made", surrogate(F.col("sample"), F.col("kind"), F.col("canon"), F.col("stream")))
+    told = told.withColumn("made", surrogate(F.col("sample"), F.col("kind"), F.col("canon"), F.col("stream"), F.col("attempt")))
     return told.select("kind", "canon", "sample", "attempt", canonical(F.col("made"), F.col("kind")).alias("made"))
 
 
@@ -216,14 +230,14 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", count_col
     text, hash_name, map_name = F.col(f"`{text_col}`"), free_name(taken, "_text_key"), free_name(taken, "_attempts")
     found = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("text_key"), F.explode(entities_of(text)).alias("sample"))
     found = found.withColumn("kind", type_of(F.col("sample"))).withColumn("canon", canonical(F.col("sample"), F.col("kind")))
-    found = settle(found.groupBy("text_key", "kind", "canon").agg(F.min("sample").alias("sample")), "pii-mentions")
-    attempts = attempts_of(found.groupBy("kind", "canon").agg(F.min("sample").alias("sample")), key)
+    found = settle(found.distinct(), "pii-mentions")
+    attempts = attempts_of(found.select("kind", "canon", "sample").distinct(), key)
     raised = settle(attempts.where("attempt > 0"), "pii-raised")
     columns = [F.col(f"`{c}`") for c in taken]
     count = [] if count_col is None else [F.coalesce(F.size(entities_of(text)), F.lit(0)).alias(count_col)]
     if raised.isEmpty():
         return docs.select(*(replace_entities(text, key).alias(text_col) if n == text_col else c for n, c in zip(taken, columns, strict=True)), *count)
-    told = found.join(raised.select("kind", "canon", "attempt"), ["kind", "canon"])
+    told = found.select("text_key", "kind", "canon").distinct().join(raised.select("kind", "canon", "attempt"), ["kind", "canon"])
     entry = F.struct(F.concat_ws("\x1f", "kind", "canon").alias("k"), F.col("attempt").alias("v"))
     told = told.groupBy("text_key").agg(F.map_from_entries(F.collect_set(entry)).alias(map_name)).withColumnRenamed("text_key", hash_name)
     rows = docs.withColumn(hash_name, F.xxhash64(text)).join(told, hash_name, "left")
