@@ -55,21 +55,22 @@ def brute(rows, sim):
     for k, (_, t) in enumerate(rows):
         w = words(t)
         sets[k] = frozenset(tuple(w[i : i + sim.k]) for i in range(len(w) - sim.k + 1)) if len(w) >= sim.k else frozenset([tuple(w)] if w else [])
-    label = {k: k for k in sets}
+    label, links = {k: k for k in sets}, dict.fromkeys(sets, 0)
     for a, b in itertools.combinations(sets, 2):
         if sets[a] and sim.den * len(sets[a] & sets[b]) >= sim.num * len(sets[a] | sets[b]):
+            links[a], links[b] = links[a] + 1, links[b] + 1
             old, new = label[a], label[b]
             label = {k: new if v == old else v for k, v in label.items()}
     out = []
     for k, (i, _) in enumerate(rows):
         mates = [rows[j][0] for j in sets if label[j] == label[k] and rows[j][0] is not None]
-        out.append((i, len(sets[k]), i if not sets[k] else min(mates, default=None)))
+        out.append((i, len(sets[k]), i if not sets[k] else min(mates, default=None), links[k]))
     return sorted(out, key=str)
 
 
 def ours(spark, rows, **options):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicate_classes(docs, **options).collect()), key=str)
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.near_duplicate_classes(docs, **options).collect()), key=str)
 
 
 def variants(rnd, base, n, edits):
@@ -84,7 +85,7 @@ def variants(rnd, base, n, edits):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_join_matches_brute_force(spark, seed):
+def test_join_matches_brute_force(spark, seed, monkeypatch):
     rnd, texts = random.Random(seed), [None, "", " \n", "one", "ONE", "one two", "a b c d", "A b c d"]
     for n in (5, 6, 7, 8, 9, 10, 11, 13, 17, 24, 40, 90, 300):
         base = [f"v{rnd.randint(0, 400)}" for _ in range(n)]
@@ -98,6 +99,9 @@ def test_join_matches_brute_force(spark, seed):
     if not seed:
         assert ours(spark, rows, block=400) == want, "blocks"
         assert ours(spark, rows, known=1, summary=1) == want, "no knowledge of frequencies"
+        assert ours(spark, rows, filter_bits=0) == want, "no filter"
+        monkeypatch.setattr(jaccard, "_WORTH", 1)
+        assert ours(spark, rows) == want, "blocks for balance"
 
 
 def test_other_thresholds(spark):
@@ -109,6 +113,48 @@ def test_other_thresholds(spark):
         assert ours(spark, rows, similarity=sim) == brute(rows, sim)
 
 
+SETS = st.lists(st.frozensets(st.integers(0, 40), max_size=14), max_size=14)
+
+
+@given(SETS, SETS)
+@settings(max_examples=150, deadline=None)
+def test_overlaps(left, right):
+    import numpy as np
+
+    from tidemark.llm import overlaps
+
+    arrays = lambda sets: [np.array(sorted(s), np.uint64) for s in sets]
+    told = lambda found: {(int(a), int(b)): int(n) for x in found for a, b, n in zip(*x, strict=True)}
+    before = overlaps._GATHER, overlaps._FREQUENT
+    try:
+        for overlaps._GATHER, overlaps._FREQUENT in ((1, 2), (1 << 21, 64)):
+            assert told(overlaps.overlaps(arrays(left), arrays(right))) == {(i, j): len(a & b) for i, a in enumerate(left) for j, b in enumerate(right) if a & b}
+            assert told(overlaps.overlaps(arrays(left))) == {(i, j): len(a & b) for (i, a), (j, b) in itertools.combinations(enumerate(left), 2) if a & b}
+    finally:
+        overlaps._GATHER, overlaps._FREQUENT = before
+
+
+def test_groups_that_outgrow_a_batch_are_tied_whole(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "_BATCH", 50)
+    none = jaccard.Costs(np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+    keys = np.repeat([64, 128, 192, 256], [30, 500, 3, 400])
+    x, ids = np.full(len(keys), 20), np.concatenate([np.arange(n) for n in (30, 500, 3, 400)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + 17]) for c in (keys, x, ids)], ["key", "x", "id"]) for k in range(0, len(keys), 17)]
+    found = [r for b in jaccard._group_task(iter(batches), jaccard.Similarity(), none) for r in b.to_pylist()]
+    stars = [(r["aid"], r["bid"]) for r in found if r["kind"] == 1]
+    assert {b for _, b in stars} >= set(range(500)) - {0} and {a for a, _ in stars} == {0}
+    assert sum(b == 399 for _, b in stars) == 2 and sum(b == 29 for _, b in stars) == 3
+
+
+def test_unsettled_components_are_an_error(spark):
+    rows = spark.createDataFrame([((1, k), (1, k + 1)) for k in range(40)], "a struct<x:long,id:long>, b struct<x:long,id:long>")
+    with pytest.raises(RuntimeError, match="not settled"):
+        jaccard.components(rows, "test", max_rounds=1, few=0)
+
+
 @given(st.lists(st.lists(st.integers(0, 30), max_size=14), min_size=2, max_size=12))
 @settings(max_examples=60, deadline=None)
 def test_similar_sets_share_enough_signatures(lists):
@@ -155,13 +201,16 @@ def test_one_row_of_each_component_stays(spark):
     assert got == sorted([("stays", t) for t in ("a", "b", "c", "e", "", "", " ")] + [("least", "f"), ("one", "d"), ("two", "g"), ("three", "h")])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("batch", [20, 1 << 18])
+def test_components(spark, batch, monkeypatch):
     rnd = random.Random(4)
     pairs = [(rnd.randint(0, 120), rnd.randint(0, 120)) for _ in range(70)] + [(k, k + 1) for k in range(200, 230)]
     rows = spark.createDataFrame([((1, a), (1, b)) for a, b in pairs], "a struct<x:long,id:long>, b struct<x:long,id:long>")
-    got = {r["node"]["id"]: r["label"]["id"] for r in jaccard.components(rows, "test").collect()}
     label = {v: v for p in pairs for v in p}
     for a, b in pairs:
         old, new = max(label[a], label[b]), min(label[a], label[b])
         label = {k: new if v == old else v for k, v in label.items()}
-    assert got == {k: v for k, v in label.items() if any(k in p and p[0] != p[1] for p in pairs)}
+    want = {k: v for k, v in label.items() if any(k in p and p[0] != p[1] for p in pairs)}
+    monkeypatch.setattr(jaccard, "_BATCH", batch)
+    for few in (0, 1000):
+        assert {r["node"]["id"]: r["label"]["id"] for r in jaccard.components(rows.repartition(3), "test", few=few).collect()} == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,15 +15,20 @@ from tidemark.workers import on_workers  # noqa: F401  (operators take it from h
 
 #: Spark deletes the shuffle files of a finished write while this is on.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables that this process wrote to the shared folder and has not deleted.
+_MADE: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where that is unset (tests on one machine) a folder of our own is made and remembered in the session.
+    Only where that is unset and the session runs on one machine (tests) a folder of our own is made and remembered in
+    the session; a cluster without that setting is an error, because its machines share no temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.shared.dir", None)
     if not found:
+        if not re.match(r"local(\[[^,\]]*(,[^\]]*)?\])?$", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.shared.dir", found)
     return found.rstrip("/")
@@ -49,13 +55,34 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
 def settle(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns the reread table: a cut of the lineage that outlives executors.
 
-    The shuffle files of the write are freed when it ends.
+    The shuffle files of the write are freed when it ends. The table itself stays until ``discard`` or ``clear``.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     with settings(spark, **{_CLEANUP.replace(".", "__"): "true"}):
         df.write.options(**options).parquet(path)
-    return spark.read.schema(nullable(df.schema)).parquet(path)
+    _MADE.add(path)
+    out = spark.read.schema(nullable(df.schema)).parquet(path)
+    out.settled_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE.discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.settled_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every table that this process settled. To be called when the results of all queries are written."""
+    for path in sorted(_MADE):
+        _delete(spark, path)
 
 
 def nullable(schema: T.StructType) -> T.StructType:

@@ -17,9 +17,10 @@ Sets that share a signature form a group. Small groups are counted pair by pair,
 count; larger groups, and frequent signatures, which are dealt over tasks by a salt, tie all their sets to one of them.
 The connected parts of this graph are then joined, each in a task by an inverted index: first over the smallest quarter
 of the universe, where sets that differ by more than U are not similar, then what stays connected over whole sets,
-exactly. Parts above a fixed number of shingles are cut into blocks, and each pair of blocks is a task. A task tells
-only a spanning forest of the links it finds. Equal sets are one node throughout. Nothing but bounded tables and checksums comes to the
-driver.
+exactly. Parts above a fixed number of shingles, or with a large share of all, are cut into blocks, and each pair of
+blocks is a task. A task tells a spanning forest of the links it finds, and of each set the number of documents it links
+to there. Equal sets are one node throughout. Joins are by key with neither side broadcast, so that adaptive execution
+can split a hot key. Nothing but bounded tables and checksums comes to the driver.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, on_workers, partitions, settings, settle
+from tidemark.llm.common import discard, free_name, on_workers, partitions, settings, settle
+from tidemark.llm.overlaps import forest, overlaps
 from tidemark.llm.shingles import mix, shingle_sets
 
 _U = np.uint64
@@ -301,21 +303,46 @@ def _group_task(batches: Iterator[pa.RecordBatch], sim: Similarity, costs: Costs
 
     Rows of kind 0: two sets of a small group and how many signatures have just that group; of kind 1: a set of a large
     group, or of a salted signature, and the group's first; of kind 2: a salted signature and the first set of its salt.
+    A group that outgrows ``_BATCH`` rows is tied to its first set piece by piece, so that none is ever held whole.
     """
     known: set[int] = set()
     held: list[tuple] = []
-    rows = 0
+    rows, open_ = 0, None  # (key, x, id) of the first set of a group that goes on
+
+    def tied(key, x, ids):
+        """The rows of the open group that begin the arrays, as a star; returns how many they are."""
+        n = int(np.searchsorted(key, open_[0], "right"))
+        whole = np.full(n, open_[1]), np.full(n, open_[2])
+        return n, _edge_rows(1, np.zeros(n), *whole, x[:n], ids[:n], np.full(n, _MOST))
+
     for batch in batches:
         held.append(tuple(c.to_numpy() for c in batch.columns))
         rows += batch.num_rows
-        if rows >= _BATCH:
-            key, x, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+        if rows < _BATCH:
+            continue
+        key, x, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+        if open_ is not None:
+            n, edges = tied(key, x, ids)
+            yield edges
+            key, x, ids = key[n:], x[n:], ids[n:]
+        if len(key):
             end = int(np.searchsorted(key, key[-1]))  # the last group may go on
-            if end:
+            open_ = None
+            if not end and len(key) >= _BATCH:
+                open_, end = (key[0], x[0], ids[0]), len(key)
+                if costs.of(key[:1].astype(_U) >> _U(6))[0] >= _HOT:
+                    yield _edge_rows(2, key[:1] >> 6, x[:1], ids[:1], x[:1], ids[:1], np.zeros(1))
+                yield tied(key, x, ids)[1]
+            elif end:
                 yield from _groups_to_edges(key[:end], x[:end], ids[:end], sim, costs, known)
-            held, rows = [(key[end:], x[end:], ids[end:])], 0 if end else len(key) // 2
+            key, x, ids = key[end:], x[end:], ids[end:]
+        held, rows = [(key, x, ids)], len(key)
     if held:
         key, x, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+        if open_ is not None and len(key):
+            n, edges = tied(key, x, ids)
+            yield edges
+            key, x, ids = key[n:], x[n:], ids[n:]
         if len(key):
             yield from _groups_to_edges(key, x, ids, sim, costs, known)
 
@@ -325,13 +352,13 @@ def quarter(members: np.ndarray) -> np.ndarray:
     return np.unique((members[members < _U(1 << 62)] >> _U(30)).astype(np.uint32))
 
 
-def _sets_task(batches: Iterator[pa.RecordBatch], sim: Similarity, bits: np.ndarray, whole: bool):
-    """(x, id, set or its quarter) of the sets whose bits are all set in the filter."""
+def _sets_task(batches: Iterator[pa.RecordBatch], sim: Similarity, bits: np.ndarray | None, whole: bool):
+    """(x, id, set or its quarter) of the sets whose bits are all set in the filter, if there is one."""
     seen: set = set()
     for batch in batches:
         for _, u, sizes in shingle_sets(batch.column(1), sim.k):
             x, ids = identities(u, sizes)
-            found = (x != 0) & in_filter(bits, x, ids)
+            found = x != 0 if bits is None else (x != 0) & in_filter(bits, x, ids)
             found &= _new(np.where(found, x, 0), ids, seen)
             if found.any():
                 some, n = _only(u, sizes, found)
@@ -342,136 +369,238 @@ def _sets_task(batches: Iterator[pa.RecordBatch], sim: Similarity, bits: np.ndar
 
 def _places(x, ids, bits: int) -> list:
     h = mix(ids.astype(_U) * _U(0x9FB21C651E98DF25) + mix(x.astype(_U)))
-    return [(h >> _U(s)) & _U(bits - 1) for s in (0, 21, 40)]
+    return [(h >> _U(s)) & _U(bits - 1) for s in (0, 17, 34)]
 
 
 def in_filter(filter_: np.ndarray, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """``filter_``: words of 64 bits, a power of two of them."""
     out = np.ones(len(x), bool)
-    for p in _places(x, ids, len(filter_) * 8):
-        out &= (filter_[(p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8) & 1).astype(bool)
+    for p in _places(x, ids, len(filter_) * 64):
+        out &= (filter_[(p >> _U(6)).astype(np.int64)] >> (p & _U(63)) & _U(1)).astype(bool)
     return out
 
 
 def _filter_task(batches: Iterator[pa.RecordBatch], bits: int):
-    """The filter bytes that a task sets, each once: place and value."""
-    own = np.zeros(bits // 8, np.uint8)
+    """The words of the filter that a task sets, each once: place and value."""
+    own = np.zeros(bits // 64, _U)
     for batch in batches:
         x, ids = (c.to_numpy() for c in batch.columns)
         for p in _places(x, ids, bits):
-            np.bitwise_or.at(own, (p >> _U(3)).astype(np.int64), (_U(1) << (p & _U(7))).astype(np.uint8))
+            np.bitwise_or.at(own, (p >> _U(6)).astype(np.int64), _U(1) << (p & _U(63)))
     at = np.flatnonzero(own)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(own[at].astype(np.int32))], ["at", "value"])
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(own[at].view(np.int64))], ["at", "value"])
 
 
-def spanning_links(members: list[np.ndarray], sim: Similarity, sizes: list[int] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sorted sets of distinct shingles, by an inverted index over all of them.
+def linked(left: list, right: list | None, sim: Similarity, left_sizes: np.ndarray, right_sizes: np.ndarray, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of similar sets; without ``right``, pairs of left. Of quarters: links that span what may be similar.
 
-    With ``sizes`` the members are quarters of sets of those sizes, and the links are the pairs that may be similar.
+    Quarters of two sets whose members differ by no more than the whole sets may are likely, even if they share nothing:
+    that is so if their slacks add up to zero or less. Whoever has such a partner has one in the set of the least slack.
     """
-    size = np.array([len(m) for m in members])
-    full = None if sizes is None else np.array(sizes)
-    owner = np.repeat(np.arange(len(members)), size)
-    values, number = np.unique(np.concatenate(members), return_inverse=True)
-    count = np.bincount(number, minlength=len(values))
-    order = np.argsort(number, kind="stable")
-    owners, begin = owner[order], np.cumsum(count) - count
-    ends = np.cumsum(size)
-    label, forest = np.arange(len(members)), []
-    for k in range(len(members)):
-        mine = number[ends[k] - size[k] : ends[k]]
-        mine = mine[count[mine] > 1]
-        if full is None and not len(mine):
-            continue
-        n = count[mine]
-        at = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        both = np.bincount(owners[at], minlength=len(members))
-        if full is None:
-            linked = np.flatnonzero(sim.den * both >= sim.num * (size[k] + size - both))
+    other, other_sizes = (left, left_sizes) if right is None else (right, right_sizes)
+    na, nb = (np.fromiter(map(len, s), np.int64, len(s)) for s in (left, other))
+    for a, b, both in overlaps(left, right):
+        if whole:
+            near = sim.den * both >= sim.num * (na[a] + nb[b] - both)
         else:
-            linked = np.flatnonzero(size[k] + size - 2 * both <= sim.differences(full[k] + full))
-        others = linked[label[linked] != label[k]]
-        for other in np.unique(label[others]).tolist():
-            forest.append((int(others[label[others] == other][0]), k))
-            label[label == other] = label[k]
-            others = others[label[others] != label[k]]
-    return forest
+            near = na[a] + nb[b] - 2 * both <= sim.differences(left_sizes[a] + other_sizes[b])
+        if near.any():
+            yield a[near], b[near]
+    if not whole:
+        total, part = sim.den + sim.num, sim.den - sim.num
+        slack_a, slack_b = total * na - part * left_sizes, total * nb - part * other_sizes
+        i, j = int(np.argmin(slack_a)), int(np.argmin(slack_b))
+        b = np.flatnonzero(slack_b + slack_a[i] <= 0)
+        yield np.full(len(b), i), b
+        a = np.flatnonzero(slack_a + slack_b[j] <= 0)
+        yield a, np.full(len(a), j)
+
+
+_LINKS = "kind int, ax long, aid long, bx long, bid long, n long"
 
 
 def _join_task(batches: Iterator[pa.RecordBatch], sim: Similarity, whole: bool):
-    """From rows in order of (part, i, j): the links within each task's sets."""
+    """From rows in order of (part, i, j): the links within block i (if i = j) or between blocks i and j.
+
+    Rows of kind 0: links that span the components of all; of kind 1 (whole sets only): a set and the documents it links to.
+    """
     now: tuple | None = None
-    held: dict[tuple[int, int], np.ndarray] = {}
+    held: dict[tuple[int, int], tuple[int, int, np.ndarray]] = {}
+
+    def rows(kind: int, columns) -> pa.RecordBatch:
+        columns = [pa.array(c, pa.int64()) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *columns], ["kind", "ax", "aid", "bx", "bid", "n"])
 
     def done():
-        nodes = list(held)
-        found = spanning_links([held[n] for n in nodes], sim, None if whole else [x for x, _ in nodes]) if len(nodes) > 1 else []
+        nodes, two = list(held), bool(now) and now[2] != now[3]
+        first = [k for k, n in enumerate(nodes) if not two or held[n][0] == now[2]]
+        second = [k for k, n in enumerate(nodes) if held[n][0] == now[3]] if two else first
+        sizes, docs = np.array([x for x, _ in nodes], np.int64), np.array([held[n][1] for n in nodes], np.int64)
+        sets = [held[n][2] for n in nodes]
         held.clear()
+        if not first or not second or len(nodes) < 2:
+            return
+        a_of, b_of, counts = np.array(first), np.array(second), np.zeros(len(nodes), np.int64)
+
+        def links():
+            for a, b in linked([sets[k] for k in first], [sets[k] for k in second] if two else None, sim, sizes[a_of], sizes[b_of], whole):
+                a, b = a_of[a], b_of[b]
+                if whole:
+                    np.add.at(counts, a, docs[b])
+                    np.add.at(counts, b, docs[a])
+                yield a, b
+
+        found, _ = forest(len(nodes), links())
         if found:
-            columns = zip(*((*nodes[a], *nodes[b]) for a, b in found), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["ax", "aid", "bx", "bid"])
+            yield rows(0, zip(*((*nodes[a], *nodes[b], 0) for a, b in found), strict=True))
+        some = np.flatnonzero(counts).tolist()
+        if some:
+            yield rows(1, zip(*((*nodes[k], *nodes[k], int(counts[k])) for k in some), strict=True))
 
     for batch in batches:
-        px, pid, i, j, x, ids = (c.to_pylist() for c in batch.columns[:6])
-        sets = batch.column(6)
+        px, pid, i, j, own, x, ids, docs = (c.to_pylist() for c in batch.columns[:8])
+        sets = batch.column(8)
         for k in range(batch.num_rows):
             key = (px[k], pid[k], i[k], j[k])
             if key != now:
                 yield from done()
                 now = key
-            held[x[k], ids[k]] = np.frombuffer(sets[k].as_buffer(), _U if whole else np.uint32)
+            held[x[k], ids[k]] = own[k], docs[k], np.frombuffer(sets[k].as_buffer(), _U if whole else np.uint32)
     yield from done()
 
 
-def _sets_of(chosen: DataFrame, needed: DataFrame, sim: Similarity, filter_bits: int, whole: bool) -> DataFrame:
-    """(x, id, members) of the needed nodes, by one scan with a filter of fixed size, then an exact join."""
-    spark = chosen.sparkSession
-    bits = np.zeros(filter_bits // 8, np.uint8)
-    marks = needed.select("x", "id").mapInArrow(lambda it: _filter_task(it, filter_bits), "at long, value int").groupBy("at").agg(F.bit_or("value").alias("value")).toArrow()  # at most filter_bits / 8 rows
-    bits[marks.column(0).to_numpy()] = marks.column(1).to_numpy().astype(np.uint8)
-    sent = spark.sparkContext.broadcast(bits)
-    return chosen.mapInArrow(lambda it: _sets_task(it, sim, sent.value, whole), "x long, id long, members binary").join(needed, ["x", "id"])
+def _sets_of(chosen: DataFrame, needed: DataFrame, n: int, sim: Similarity, most_bits: int, whole: bool) -> DataFrame:
+    """(x, id, members, ...) of the ``n`` needed nodes, by one scan and an exact join.
+
+    A filter of 16 bits a node, or a little more, keeps other sets out of the shuffle; where that would take more than
+    ``most_bits``, there is none, and the join alone finds the nodes.
+    """
+    spark, bits = chosen.sparkSession, 1 << 12
+    while bits < 16 * n:
+        bits *= 2
+    sent = None
+    if bits <= most_bits:
+        words = np.zeros(bits // 64, _U)
+        marks = needed.select("x", "id").mapInArrow(lambda it: _filter_task(it, bits), "at long, value long").groupBy("at").agg(F.bit_or("value").alias("value")).toArrow()  # at most bits / 64 rows
+        words[marks.column(0).to_numpy()] = marks.column(1).to_numpy().view(_U)
+        sent = spark.sparkContext.broadcast(words)
+    sets = chosen.mapInArrow(lambda it: _sets_task(it, sim, None if sent is None else sent.value, whole), "x long, id long, members binary")
+    return sets.join(needed.hint("merge"), ["x", "id"])
 
 
-def joined_parts(chosen: DataFrame, parts: DataFrame, sim: Similarity, block: int, filter_bits: int, whole: bool) -> DataFrame:
-    """(a, b): a spanning forest of the links within each part of the graph (node, label), by whole sets or by quarters."""
-    spark = chosen.sparkSession
-    blocks = parts.groupBy("label").agg(F.ceil(F.sum("node.x") / block).cast("int").alias("blocks"))
-    placed = settle(parts.join(blocks, "label").select("node.x", "node.id", "label", "blocks"), "jaccard-parts")
+#: A part of this many shingles may be cut into up to ``_SPREAD`` blocks for the sake of balance alone.
+_WORTH, _SPREAD = 1 << 14, 32
+
+
+def joined_parts(chosen: DataFrame, parts: DataFrame, docs_of: DataFrame, sim: Similarity, block: int, most_bits: int, whole: bool) -> DataFrame:
+    """The rows of ``_join_task`` for each part of the graph (node, label), by whole sets or by quarters.
+
+    ``docs_of``: (x, id, docs), how many documents a node stands for. A part is cut into blocks of about ``block``
+    shingles, and into more if it holds so large a share of all shingles that a task for each pair of blocks evens out.
+    """
+    spark, width = chosen.sparkSession, partitions(chosen.sparkSession)
+    size = parts.groupBy("label").agg(F.sum("node.x").alias("size"))
+    total = parts.agg(F.sum("node.x"), F.count(F.lit(1))).first()
+    even = F.when(F.col("size") >= _WORTH, F.least(F.lit(_SPREAD), F.ceil(F.sqrt(2.0 * width * F.col("size") / (total[0] or 1))))).otherwise(1)
+    blocks = size.select("label", F.greatest(F.ceil(F.col("size") / block), even).cast("int").alias("blocks")).where("blocks > 1")
+    placed = parts.join(blocks.hint("merge"), "label", "left").select("node.x", "node.id", "label", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    if whole:
+        placed = placed.join(docs_of.hint("merge"), ["x", "id"])
+    else:
+        placed = placed.withColumn("docs", F.lit(1).cast("long"))
+    placed = settle(placed, "jaccard-parts")
     own = F.pmod(F.xxhash64("x", "id"), F.col("blocks")).cast("int")
-    sets = _sets_of(chosen, placed, sim, filter_bits, whole).withColumn("own", own)
+    sets = _sets_of(chosen, placed, total[1], sim, most_bits, whole).withColumn("own", own)
     tasks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.select("label", "own", tasks.alias("other"), "x", "id", "members").select(F.col("label.x").alias("px"), F.col("label.id").alias("pid"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "x", "id", "members")
-    dealt = dealt.repartition(partitions(spark), "px", "pid", "i", "j").sortWithinPartitions("px", "pid", "i", "j")
-    found = dealt.mapInArrow(lambda it: _join_task(it, sim, whole), "ax long, aid long, bx long, bid long")
-    return settle(found.select(_node("ax", "aid").alias("a"), _node("bx", "bid").alias("b")), "jaccard-links" if whole else "jaccard-likely")
+    dealt = sets.select("label", "own", tasks.alias("other"), "x", "id", "docs", "members").select(F.col("label.x").alias("px"), F.col("label.id").alias("pid"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "id", "docs", "members")
+    dealt = dealt.repartition(width, "px", "pid", "i", "j").sortWithinPartitions("px", "pid", "i", "j")
+    found = settle(dealt.mapInArrow(lambda it: _join_task(it, sim, whole), _LINKS), "jaccard-links" if whole else "jaccard-likely")
+    discard(placed)
+    return found
+
 
+def _edges(rows: DataFrame) -> DataFrame:
+    return rows.where("kind = 0").select(_node("ax", "aid").alias("a"), _node("bx", "bid").alias("b"))
 
-def components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
+
+def _stars(ax, aid, bx, bid) -> tuple:
+    """Of edges between nodes (x, id): each node but the least of its component, with that one."""
+    x, ids = np.concatenate([ax, bx]), np.concatenate([aid, bid])
+    order = np.lexsort((ids, x))
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (x[order][1:] != x[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    x, ids = x[order[fresh]], ids[order[fresh]]
+    _, label = forest(len(x), [(number[: len(ax)], number[len(ax) :])])
+    some = np.flatnonzero(label != np.arange(len(x)))
+    return x[some], ids[some], x[label[some]], ids[label[some]]
+
+
+def _contract_task(batches: Iterator[pa.RecordBatch]):
+    """Edges with the same components as those of the task, of which it holds no more than about ``_BATCH``."""
+    held: list[tuple] = []
+    rows = 0
+
+    def told(columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["ax", "aid", "bx", "bid"])
+
+    for batch in batches:
+        held.append(tuple(c.to_numpy() for c in batch.columns))
+        rows += batch.num_rows
+        if rows >= _BATCH:
+            stars = _stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held, rows = [stars], len(stars[0])
+            if rows > _BATCH // 2:
+                yield told(stars)
+                held, rows = [], 0
+    if rows:
+        yield told(_stars(*(np.concatenate(c) for c in zip(*held, strict=True))))
+
+
+def _contracted(edges: DataFrame, tag: str) -> DataFrame:
+    ends = edges.select("a.x", "a.id", F.col("b.x").alias("bx"), F.col("b.id").alias("bid"))
+    found = ends.mapInArrow(_contract_task, "ax long, aid long, bx long, bid long")
+    return settle(found.select(_node("ax", "aid").alias("a"), _node("bx", "bid").alias("b")), tag)
+
+
+def components(edges: DataFrame, tag: str, max_rounds: int = 60, few: int = _BATCH) -> DataFrame:
     """(node, label) for the nodes of the edges (a, b): label is the least node of the component.
 
-    Alternating large-star and small-star steps (Kiveris et al., "Connected components in MapReduce and beyond"), each
-    settled in the shared folder; nothing but a checksum comes to the driver. The many small plans are not compiled.
+    Each task first replaces its edges by stars with the same components. If at most ``few`` are left, one task ends the
+    work; else alternating large-star and small-star steps do (Kiveris et al., "Connected components in MapReduce and
+    beyond"), each settled in the shared folder and deleted when the next one is; nothing but a count and a checksum
+    comes to the driver. The many small plans are not compiled. The rounds needed grow as the logarithm of the longest
+    path; if they do not suffice, that is an error.
     """
     with settings(edges.sparkSession, spark__sql__codegen__wholeStage="false"):
-        return _components(edges, tag, max_rounds)
+        now = _contracted(edges.where("a <> b"), tag)
+        if now.count() <= few:
+            then = _contracted(now.coalesce(1), tag)
+            discard(now)
+            now = then
+        else:
+            now = _star_rounds(now, tag, max_rounds)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def _components(edges: DataFrame, tag: str, max_rounds: int) -> DataFrame:
-    now = settle(edges.where("a <> b").select("a", "b").distinct(), tag)
+def _star_rounds(now: DataFrame, tag: str, max_rounds: int) -> DataFrame:
     last = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        star = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        star = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = star.groupBy("a").agg(F.min("b").alias("m"))
-        hung = star.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        hung = star.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = hung.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        now = settle(down.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), tag)
+        then = settle(down.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), tag)
+        discard(now)
+        now = then
         sign = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if sign == last:
-            break
+            return now
         last = sign
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    raise RuntimeError(f"components are not settled after {max_rounds} rounds")
 
 
 def _node(x: str, i: str):
@@ -480,10 +609,14 @@ def _node(x: str, i: str):
 
 @dataclass
 class Join:
-    """``documents``: doc_id, row, x, id, n_shingles. ``links``: a, b, verified; they span every component. ``classes``: node, label."""
+    """``documents``: doc_id, row, x, id, n_shingles. ``links``: a, b, verified; they span every component.
+
+    ``counts``: x, id, links; the documents of other sets that a set is similar to. ``classes``: node, label.
+    """
 
     documents: DataFrame
     links: DataFrame
+    counts: DataFrame
     classes: DataFrame
 
 
@@ -503,15 +636,15 @@ def _costs(scan: DataFrame, most: int) -> Costs:
 
 
 def jaccard_join(
-    docs: DataFrame, *, similarity: Similarity | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, summary: int = 1 << 16, known: int = 1 << 18, filter_bits: int = 1 << 21, block: int = 1 << 20
+    docs: DataFrame, *, similarity: Similarity | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, summary: int = 1 << 16, known: int = 1 << 18, filter_bits: int = 1 << 26, block: int = 1 << 19
 ) -> Join:
     """Finds links between documents whose shingle sets are similar; see the module for the method.
 
     A null text is empty; an empty text, or one without words, is linked with nothing. A text with fewer words than a
     shingle is one shingle. Rows with equal sets, repeated rows included, are one node. An empty table gives empty
-    results. ``row_col`` (long) is passed on as ``row``; other columns are ignored. ``summary`` (signatures a task reports) and ``known`` (signatures sent to tasks)
-    bound what is known of frequencies and change the cost alone; so do ``filter_bits``, the fixed size of the filter
-    sent to the scan, and ``block``, the shingles that a task of the exact join holds at most twice.
+    results. ``row_col`` (long) is passed on as ``row``; other columns are ignored. ``summary`` (signatures a task
+    reports) and ``known`` (signatures sent to tasks) bound what is known of frequencies and change the cost alone; so do
+    ``filter_bits``, the largest filter sent to the scan, and ``block``, the shingles that a task holds at most twice.
     """
     spark, sim = docs.sparkSession, similarity or Similarity()
     on_workers(spark)
@@ -530,30 +663,38 @@ def jaccard_join(
     stars = found.where("kind = 1").select(*ends)
     salted = found.where("kind = 2").select("sig", _node("ax", "aid").alias("b"))
     first = salted.groupBy("sig").agg(F.min("b").alias("a"))
-    across = salted.join(first, "sig").select("a", "b")
+    across = salted.join(first.hint("merge"), "sig").select("a", "b")
     edges = pairs.unionByName(stars).select(_node("ax", "aid").alias("a"), _node("bx", "bid").alias("b")).unionByName(across)
+    nodes = documents.where("n_shingles > 0").groupBy("x", "id").agg(F.count(F.lit(1)).alias("docs"))
     parts = settle(components(edges, "jaccard-candidates"), "jaccard-candidates")
-    likely = joined_parts(chosen, parts, sim, block, filter_bits, whole=False)
-    parts = settle(components(likely, "jaccard-likely"), "jaccard-likely")
-    links = joined_parts(chosen, parts, sim, block, filter_bits, whole=True)
-    classes = settle(components(links, "jaccard-components"), "jaccard-classes")
-    return Join(documents, links, classes)
+    discard(found)
+    likely = joined_parts(chosen, parts, nodes, sim, block * 4, filter_bits, whole=False)
+    discard(parts)
+    parts = settle(components(_edges(likely), "jaccard-likely"), "jaccard-likely")
+    discard(likely)
+    told = joined_parts(chosen, parts, nodes, sim, block, filter_bits, whole=True)
+    discard(parts)
+    counts = told.where("kind = 1").groupBy(F.col("ax").alias("x"), F.col("aid").alias("id")).agg(F.sum("n").alias("links"))
+    classes = settle(components(_edges(told), "jaccard-components"), "jaccard-classes")
+    return Join(documents, _edges(told), counts, classes)
 
 
 def near_duplicate_classes(docs: DataFrame, *, similarity: Similarity | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per row: doc_id, n_shingles, component_id (the least doc_id reachable by links, its own included).
+    """One row per row: doc_id, n_shingles, component_id (the least doc_id reachable by links, its own included), n_links.
 
-    A document without words is its own component. A null id counts as the greatest; a component of null ids alone has
-    a null component_id. See ``jaccard_join`` for other cases.
+    ``n_links`` counts the other rows that a row is linked to, those with an equal set included. A document without
+    words is its own component and has no links. A null id counts as the greatest; a component of null ids alone has a
+    null component_id. See ``jaccard_join`` for other cases.
     """
     joined = jaccard_join(docs, similarity=similarity, id_col=id_col, text_col=text_col, **options)
-    documents = joined.documents
-    nodes = documents.where("n_shingles > 0").groupBy("x", "id").agg(F.min("doc_id").alias("least")).withColumn("node", _node("x", "id"))
-    labelled = nodes.join(joined.classes, "node", "left").select("x", "id", "least", F.coalesce("label", "node").alias("label"))
+    documents = joined.documents.where("n_shingles > 0")
+    nodes = documents.groupBy("x", "id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs")).withColumn("node", _node("x", "id"))
+    labelled = nodes.join(joined.classes.hint("merge"), "node", "left").select("x", "id", "least", "docs", F.coalesce("label", "node").alias("label"))
     lowest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = settle(labelled.join(lowest, "label").select("x", "id", "component_id"), "jaccard-named")
-    found = documents.join(named, ["x", "id"], "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = labelled.join(lowest.hint("merge"), "label").join(joined.counts.hint("merge"), ["x", "id"], "left")
+    named = settle(named.select("x", "id", "component_id", (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-named")
+    found = documents.join(named.hint("merge"), ["x", "id"]).select("doc_id", "n_shingles", "component_id", "n_links")
+    return found.unionByName(joined.documents.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -568,8 +709,8 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     documents = joined.documents.where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
     nodes = documents.groupBy("x", "id").agg(first.alias("first")).withColumn("node", _node("x", "id"))
-    labelled = nodes.join(joined.classes, "node", "left").select("x", "id", "first", F.coalesce("label", "node").alias("label"))
+    labelled = nodes.join(joined.classes.hint("merge"), "node", "left").select("x", "id", "first", F.coalesce("label", "node").alias("label"))
     kept = labelled.groupBy("label").agg(F.min("first").alias("kept"))
-    named = settle(labelled.join(kept, "label").select("x", "id", F.col("kept.row").alias("kept")), "jaccard-kept")
-    gone = settle(documents.join(named, ["x", "id"]).where("row <> kept").select(F.col("row").alias(name)), "jaccard-gone")
-    return rows.join(gone, name, "left_anti").drop(name)
+    named = settle(labelled.join(kept.hint("merge"), "label").select("x", "id", F.col("kept.row").alias("kept")), "jaccard-kept")
+    gone = settle(documents.join(named.hint("merge"), ["x", "id"]).where("row <> kept").select(F.col("row").alias(name)), "jaccard-gone")
+    return rows.join(gone.hint("merge"), name, "left_anti").drop(name)
