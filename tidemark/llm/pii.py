@@ -1,11 +1,17 @@
 """Operator 4, PII: keyed surrogates that keep type, format, script and gender, in DataFrame operations alone.
 
-One pattern with an alternative for each type cuts a text into gaps and entities. An entity's surrogate is a function of
-a secret key, its type, its canonical form and an attempt number, so the same person, number or address gets the same
-surrogate everywhere without any exchange of data. The distinct entities of the corpus are then checked: two that meet
-in one surrogate, or a surrogate that is a real entity, take the next attempt until all are distinct, in every written
-form. Later attempts have more room: names grow by keyed letters, and so do the local parts of e-mail addresses. Types
-of fixed form cannot grow; where their room is too small for the corpus an error says so. Only texts that hold such an entity need to be told; they get their attempts by a join, and where there is none the join is left out.
+One pattern with an alternative for each type cuts a text, in one pass, into gaps and entities. The surrogate of an
+entity is a function of a secret key, its type, its canonical form and an attempt number, so the same number or address
+gets the same surrogate everywhere without any exchange of data. Names are keyed part by part, a given name together
+with the gender of the title, so that "Mr John Smith" and "Mr Smith" stay one person. The distinct entities and parts of
+the corpus are then checked: two that meet in one surrogate, or a surrogate that is a real entity, take the next attempt
+until all are distinct, in every written form. Later attempts have more room: names grow by keyed letters, and so do the
+local parts of e-mail addresses. Types of fixed form cannot grow; where their room is too small for the corpus an error
+says so. Only texts that hold such an entity need to be told; they get their attempts by a join, and where there is none
+the join is left out.
+
+No pattern has an unbounded group that could backtrack, so the time and the stack that a text takes do not depend on
+what is in it but for its length. A card number is one only if its issuer's digits exist and its check digit is right.
 """
 
 from __future__ import annotations
@@ -29,16 +35,18 @@ _SYLLABLES = ["ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu", "ra",
 _EDGE = r"""[^\s@"'<>(),;:|\[\]{}=]"""
 _TITLES = "|".join(sorted(_MALE + _FEMALE, key=len, reverse=True))
 PATTERNS = {
-    "email": rf"(?<!{_EDGE}){_EDGE}++@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)+",
+    "email": rf"(?<!{_EDGE}){_EDGE}++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)++",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d)|(?<![\p{L}\p{N}+(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\p{N}+.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "national_id": r"(?<![\p{L}\p{N}.-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_][A-Za-z0-9_-]{16,})",
-    "card": r"(?<![\p{L}\p{N}.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.-])\d{13,19}(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}.-])(?=[3-6]|2[2-7])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?![\p{L}\p{N}])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}",
 }
 TYPES = list(PATTERNS)
+# Marks of what is cut: a text's own control character is doubled by another one first.
+_OWN, _OWN_AS, _CUT = "\x01", "\x01\x02", "\x01\x03"
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _ANY = _ANY.replace(r"([ -]?)\d{4}\1\d{4}\1", r"(?<s>[ -]?)\d{4}\k<s>\d{4}\k<s>")
 _HINT = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}|AKIA|gh[pousr]_|sk[-_]"
@@ -54,20 +62,48 @@ def _whole(pattern: str) -> str:
 
 
 def type_of(entity: Column) -> Column:
-    """The first type whose pattern the whole entity has."""
+    """The first type whose pattern the whole entity has; null for a number that only looks like a card's."""
     out = F.lit("name")
     for name in reversed(TYPES[:-1]):
-        out = F.when(entity.rlike(_whole(PATTERNS[name])), F.lit(name)).otherwise(out)
+        kind = F.lit(name) if name != "card" else F.when(_luhn(F.regexp_replace(entity, r"[^0-9]", "")) % 10 == 0, F.lit(name))
+        out = F.when(entity.rlike(_whole(PATTERNS[name])), kind).otherwise(out)
     return out
 
 
+def pieces_of(text: Column) -> Column:
+    """The text cut at its entities: gap, entity, gap, ..., gap. Texts without digit, @ or title are one gap."""
+    marked = F.regexp_replace(F.replace(text, F.lit(_OWN), F.lit(_OWN_AS)), _ANY, f"{_CUT}$0{_CUT}")
+    cut = F.transform(F.split(marked, _CUT, -1), lambda p: F.replace(p, F.lit(_OWN_AS), F.lit(_OWN)))
+    return F.when(text.rlike(_HINT), cut).otherwise(F.array(text))
+
+
+def entities_in(pieces: Column) -> Column:
+    """The entities among the pieces, in order, as structs (e, k): the text and its type."""
+    found = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.struct(p.alias("e"), type_of(p).alias("k"))))
+    return F.filter(found, lambda x: x.k.isNotNull())
+
+
+def _name_parts(entity: Column, part, join, words_join):
+    """``part(kind, word)`` of each hyphenated part of each word after the title, put together by the two functions."""
+    title = F.regexp_extract(entity, rf"^(?:{_TITLES})\.? ", 0)
+    given = F.when(title.rlike(rf"^(?:{'|'.join(_FEMALE)})\b"), F.lit("given_female")).otherwise(F.lit("given_male"))
+    words = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " ")
+    kind = lambda i: F.when(i < F.size(words) - 1, given).otherwise(F.lit("surname"))
+    return title, words_join(F.transform(words, lambda w, i: join(F.transform(F.split(w, "-"), lambda p: part(kind(i), p)))))
+
+
+def units_of(entity: Column, kind: Column) -> Column:
+    """What is keyed in an entity, as structs (kind, canon, sample): itself, or the parts of a name."""
+    unit = lambda k, e: F.struct(k.alias("kind"), canonical(e, k).alias("canon"), e.alias("sample"))
+    return F.when(kind == "name", _name_parts(entity, unit, lambda x: x, F.flatten)[1]).otherwise(F.array(unit(kind, entity)))
+
+
 def canonical(entity: Column, kind: Column) -> Column:
-    """What makes two mentions one: digits of numbers, lower-case letters, a name without its title."""
+    """What makes two mentions one: the digits of numbers, else the lower-case letters."""
     digits = F.regexp_replace(entity, r"[^0-9]", "")
     return (
         F.when(kind.isin("phone", "card", "national_id"), digits)
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
-        .when(kind == "name", F.lower(F.regexp_replace(entity, rf"^(?:{_TITLES})\.? ", "")))
         .otherwise(F.lower(entity))
     )
 
@@ -89,14 +125,15 @@ def _nth(letters: str, i: Column) -> Column:
 
 
 def _letterwise(text: Column, stream: Column, letters: str = _LATIN) -> Column:
-    """Each digit by a digit and each letter by one of its script and case; other characters stay."""
+    """Each digit by a digit and each letter by one of its script and case; other characters stay. Linear in the text."""
 
-    def one(c: Column, i: Column) -> Column:
-        x = _at(stream, i)
+    def one(c: Column, x: Column) -> Column:
         small = F.when(c.rlike(r"\p{IsCyrillic}"), _nth(_CYRILLIC, x)).when(c.rlike(r"\p{IsGreek}"), _nth(_GREEK, x)).otherwise(_nth(letters, x))
         return F.when(c.rlike(r"[0-9]"), (x % 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(small)).when(c.rlike(r"\p{L}"), small).otherwise(c)
 
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
+    numbers = F.regexp_extract_all(stream, F.lit(".."), F.lit(0))
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return _let(numbers, lambda n: F.array_join(F.transform(chars, lambda c, i: one(c, F.conv(n[i], 16, 10).cast("int"))), ""))
 
 
 def _luhn(digits: Column) -> Column:
@@ -106,11 +143,11 @@ def _luhn(digits: Column) -> Column:
 
 
 def _number(canon: Column, kind: Column, stream: Column) -> Column:
-    """As many digits; the last one makes a card number valid where the real one is."""
+    """As many digits; a card number keeps the first two, which tell its issuer, and is valid."""
     digits = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: (_at(stream, i) % 10).cast("string")), "")
-    plain, head = digits(F.length(canon)), digits(F.length(canon) - 1)
+    head = F.concat(F.substring(canon, 1, 2), digits(F.length(canon) - 3))
     valid = _let(head, lambda d: F.concat(d, ((10 - _luhn(F.concat(d, F.lit("0"))) % 10) % 10).cast("string")))
-    return F.when((kind == "card") & (_luhn(canon) % 10 == 0), valid).otherwise(plain)
+    return F.when(kind == "card", valid).otherwise(digits(F.length(canon)))
 
 
 def _in_format(entity: Column, number: Column) -> Column:
@@ -124,30 +161,24 @@ def _in_format(entity: Column, number: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(entity, ""), lambda c: c != ""), one), "")
 
 
-def _name(entity: Column, stream: Column, attempt: Column) -> Column:
-    """Title, then as many names: given names fit the title's gender, a last name is made of keyed syllables.
+def _part(word: Column, kind: Column, stream: Column, attempt: Column) -> Column:
+    """A part of a name: a given name of the gender, or a surname of keyed syllables; other scripts letter by letter.
 
-    Each attempt but the first adds a syllable, or a letter of the script, to the last name.
+    Each attempt but the first adds a syllable, or a letter of the script. All capitals stay all capitals.
     """
     more = F.least(attempt, F.lit(_MORE))
-    title = F.regexp_extract(entity, rf"^(?:{_TITLES})\.? ", 0)
-    female = title.rlike(rf"^(?:{'|'.join(_FEMALE)})\b")
-    words = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), "[ -]")
     pick = lambda names, x: F.element_at(F.array(*map(F.lit, names)), (x % len(names)) + 1)
-    syllable = lambda x: pick(_SYLLABLES, x)
-    added = F.array_join(F.transform(F.slice(F.sequence(F.lit(0), F.lit(_MORE)), F.lit(1), more), lambda k: syllable(_at(stream, k + 20))), "")
-    last = lambda i: F.initcap(F.concat(*(syllable(_at(stream, i * 5 + k)) for k in range(4)), added))
-    given = lambda i: F.when(female, pick(_FEMALE_NAMES, _at(stream, i * 5))).otherwise(pick(_MALE_NAMES, _at(stream, i * 5)))
-
-    def one(w: Column, i: Column) -> Column:
-        longer = F.when(i < F.size(words) - 1, w).otherwise(F.concat(w, F.repeat(F.lower(F.right(w, F.lit(1))), more)))
-        return F.when(w.rlike(r"^\p{IsLatin}+$"), F.when(i < F.size(words) - 1, given(i)).otherwise(last(i))).otherwise(_letterwise(longer, F.substring(stream, i * 8 + 1, F.length(stream))))
-
-    return F.concat(title, F.array_join(F.transform(words, one), " "))
+    syllable = lambda k: pick(_SYLLABLES, _at(stream, k))
+    added = F.array_join(F.transform(F.slice(F.sequence(F.lit(0), F.lit(_MORE)), F.lit(1), more), lambda k: syllable(k + 20)), "")
+    made = F.when(kind == "given_female", pick(_FEMALE_NAMES, _at(stream, F.lit(0)))).when(kind == "given_male", pick(_MALE_NAMES, _at(stream, F.lit(0)))).otherwise(F.initcap(F.concat(*(syllable(F.lit(k)) for k in range(4)))))
+    made = F.concat(made, added)
+    made = F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(made)).otherwise(made)
+    longer = F.concat(word, F.repeat(F.lower(F.right(word, F.lit(1))), more))
+    return F.when(word.rlike(r"^\p{IsLatin}+$"), made).otherwise(_letterwise(longer, stream))
 
 
 def surrogate(entity: Column, kind: Column, canon: Column, stream: Column, attempt: Column) -> Column:
-    """The replacement of an entity, made of the keyed stream of its canonical form and attempt."""
+    """The replacement of an entity or a part of a name, made of the keyed stream of its canonical form and attempt."""
     more = F.least(F.greatest(attempt - 3, F.lit(0)), F.lit(_MORE))  # the first attempts at an address keep its length
     local, domain = F.concat(F.substring_index(entity, "@", 1), F.repeat(F.lit("x"), more)), F.substring_index(entity, "@", -1)
     tld = F.regexp_extract(domain, r"\.[^.]*$", 0)
@@ -160,7 +191,7 @@ def surrogate(entity: Column, kind: Column, canon: Column, stream: Column, attem
         .when(kind.isin("phone", "card", "national_id"), _let(_number(canon, kind, stream), lambda d: _in_format(entity, d)))
         .when(kind == "secret", F.when(entity.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _hex(entity, stream)).otherwise(F.concat(F.substring(entity, 1, 4), _letterwise(F.substring(entity, F.lit(5), F.length(entity)), stream))))
         .when(kind == "iban", F.concat(F.substring(entity, 1, 2), _letterwise(F.substring(entity, F.lit(3), F.length(entity)), stream)))
-        .otherwise(_name(entity, stream, attempt))
+        .otherwise(_part(entity, kind, stream, attempt))
     )
 
 
@@ -169,21 +200,21 @@ def _hex(entity: Column, stream: Column) -> Column:
     return F.when(entity.rlike("[A-F]"), F.upper(out)).otherwise(out)
 
 
-def entities_of(text: Column) -> Column:
-    """All entities of a text in order; texts without digit, @ or title are passed by."""
-    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _replacement(entity: Column, key: str, attempts: Column | None) -> Column:
+    """The surrogate of a piece that the pattern found; the piece itself if it is no entity after all."""
+
+    def made(kind: Column, sample: Column) -> Column:
+        attempt = F.lit(0) if attempts is None else F.coalesce(attempts[F.concat_ws("\x1f", kind, canonical(sample, kind))], F.lit(0))
+        unit = F.struct(kind.alias("k"), canonical(sample, kind).alias("c"), attempt.alias("a"), sample.alias("e"))
+        return _let(unit, lambda u: _let(_stream(key, u.k, u.c, u.a), lambda s: surrogate(u.e, u.k, u.c, s, u.a)))
+
+    title, names = _name_parts(entity, made, lambda x: F.array_join(x, "-"), lambda x: F.array_join(x, " "))
+    return _let(type_of(entity), lambda k: F.when(k.isNull(), entity).when(k == "name", F.concat(title, names)).otherwise(made(k, entity)))
 
 
-def replace_entities(text: Column, key: str, attempts: Column | None = None) -> Column:
-    """The text with every entity replaced; ``attempts``: a map from type and canonical form to the attempt number."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), lambda e: F.struct(e.alias("e"), type_of(e).alias("k")))
-    found = F.transform(found, lambda x: F.struct(x.e.alias("e"), x.k.alias("k"), canonical(x.e, x.k).alias("c")))
-    attempt = (lambda x: F.lit(0)) if attempts is None else (lambda x: F.coalesce(attempts[F.concat_ws("\x1f", x.k, x.c)], F.lit(0)))
-    found = F.transform(found, lambda x: F.struct(x.e.alias("e"), x.k.alias("k"), x.c.alias("c"), attempt(x).alias("a")))
-    found = F.transform(found, lambda x: F.struct(x.e.alias("e"), x.k.alias("k"), x.c.alias("c"), x.a.alias("a"), _stream(key, x.k, x.c, x.a).alias("s")))
-    made = F.transform(found, lambda x: surrogate(x.e, x.k, x.c, x.s, x.a))
-    new = F.zip_with(F.split(text, _ANY, -1), made, lambda g, e: F.concat(g, F.coalesce(e, F.lit(""))))
-    return F.when(text.rlike(_HINT), F.array_join(new, "")).otherwise(text)
+def replace_entities(pieces: Column, key: str, attempts: Column | None = None) -> Column:
+    """The text of the pieces, entities replaced; ``attempts``: a map from kind and canonical form to the attempt number."""
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, p).otherwise(_replacement(p, key, attempts))), "")
 
 
 def attempts_of(entities: DataFrame, key: str, max_rounds: int = 100) -> DataFrame:
@@ -219,27 +250,40 @@ def _with_surrogates(entities: DataFrame, key: str) -> DataFrame:
     return told.select("kind", "canon", "sample", "attempt", canonical(F.col("made"), F.col("kind")).alias("made"))
 
 
+_SALTS = 16
+
+
 def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with the entities of ``text_col`` replaced; all columns and rows stay; ``count_col`` adds their number.
 
-    The same entity has the same surrogate in every row, different entities have different ones. A null text stays
-    null, an empty one empty. Repeated rows stay equal. An empty table stays empty. Texts without entities come back
-    unchanged. Other columns are left alone, whatever their names.
+    The same entity has the same surrogate in every row, different entities have different ones; so have the parts of
+    names. A null text stays null, an empty one empty. Repeated rows stay equal. An empty table stays empty. Texts
+    without entities come back unchanged, whatever their length. Other columns are left alone, whatever their names.
     """
     taken = list(docs.columns)
-    text, hash_name, map_name = F.col(f"`{text_col}`"), free_name(taken, "_text_key"), free_name(taken, "_attempts")
-    found = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("text_key"), F.explode(entities_of(text)).alias("sample"))
-    found = found.withColumn("kind", type_of(F.col("sample"))).withColumn("canon", canonical(F.col("sample"), F.col("kind")))
+    text = F.col(f"`{text_col}`")
+    hash_name, salt_name, map_name, cut_name = (free_name(taken, n) for n in ("_text_key", "_salt", "_attempts", "_pieces"))
+    found = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("text_key"), F.explode(entities_in(pieces_of(text))).alias("x"))
+    found = found.select("text_key", F.explode(units_of(F.col("x.e"), F.col("x.k"))).alias("u")).select("text_key", "u.*")
     found = settle(found.distinct(), "pii-mentions")
     attempts = attempts_of(found.select("kind", "canon", "sample").distinct(), key)
     raised = settle(attempts.where("attempt > 0"), "pii-raised")
+    pieces = F.col(f"`{cut_name}`")
     columns = [F.col(f"`{c}`") for c in taken]
-    count = [] if count_col is None else [F.coalesce(F.size(entities_of(text)), F.lit(0)).alias(count_col)]
+
+    def told(rows: DataFrame, new: Column) -> DataFrame:
+        new = F.when(text.isNotNull(), new)
+        count = [] if count_col is None else [F.when(text.isNull(), 0).otherwise(F.size(entities_in(pieces))).alias(count_col)]
+        return rows.withColumn(cut_name, pieces_of(text)).select(*(new.alias(text_col) if n == text_col else c for n, c in zip(taken, columns, strict=True)), *count)
+
     if raised.isEmpty():
-        return docs.select(*(replace_entities(text, key).alias(text_col) if n == text_col else c for n, c in zip(taken, columns, strict=True)), *count)
-    told = found.select("text_key", "kind", "canon").distinct().join(raised.select("kind", "canon", "attempt"), ["kind", "canon"])
+        return told(docs, replace_entities(pieces, key))
+    # A row for each text with a raised unit, for each salt; rows that share a text, or have none, are dealt by the salt.
     entry = F.struct(F.concat_ws("\x1f", "kind", "canon").alias("k"), F.col("attempt").alias("v"))
-    told = told.groupBy("text_key").agg(F.map_from_entries(F.collect_set(entry)).alias(map_name)).withColumnRenamed("text_key", hash_name)
-    rows = docs.withColumn(hash_name, F.xxhash64(text)).join(told, hash_name, "left")
-    new = F.when(F.col(map_name).isNull(), replace_entities(text, key)).otherwise(replace_entities(text, key, F.col(map_name)))
-    return rows.select(*(new.alias(text_col) if n == text_col else c for n, c in zip(taken, columns, strict=True)), *count)
+    of_text = found.select("text_key", "kind", "canon").distinct().join(raised.select("kind", "canon", "attempt").hint("merge"), ["kind", "canon"])
+    of_text = of_text.groupBy("text_key").agg(F.map_from_entries(F.collect_set(entry)).alias(map_name))
+    of_text = of_text.select(F.col("text_key").alias(hash_name), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias(salt_name), map_name)
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != text_col and not f.dataType.simpleString().count("map<") and not f.dataType.simpleString().count("variant")]
+    salt = F.pmod(F.xxhash64(F.lit(0), *others), F.lit(_SALTS)).cast("int")
+    rows = docs.withColumns({hash_name: F.when(text.isNotNull(), F.xxhash64(text)), salt_name: salt}).join(of_text.hint("merge"), [hash_name, salt_name], "left")
+    return told(rows, F.when(F.col(map_name).isNull(), replace_entities(pieces, key)).otherwise(replace_entities(pieces, key, F.col(map_name))))
