@@ -32,7 +32,9 @@ def test_exact_drop_keeps_one_row_and_all_columns(spark):
 @pytest.mark.parametrize("bucket_size", [1, 7, 1000])
 def test_directory_splits_only_overfull_buckets(spark, bucket_size):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 150).alias("text"))
-    index = exact_dedup.build_index(docs, bucket_size=bucket_size).toPandas()
+    built = exact_dedup.build_index(docs, bucket_size=bucket_size)
+    index, known = built.entries.toPandas(), built.directory.toPandas()
+    assert known.cell.is_unique and built.chained is None and set(known.bucket) == set(index.bucket)
     assert len(index) == 150 and index.group_size.sum() == 400
     per = index.groupby("bucket").size()
     assert per.max() <= bucket_size or index.depth.max() == exact_dedup._DEPTH
@@ -43,6 +45,32 @@ def test_directory_splits_only_overfull_buckets(spark, bucket_size):
         assert cell >> (exact_dedup._DEPTH - r.depth) << (exact_dedup._DEPTH - r.depth) == r.bucket
 
 
+def test_rows_are_found_through_the_directory(spark, monkeypatch):
+    from dataclasses import replace
+
+    monkeypatch.setattr(exact_dedup, "_ROWS", 20)  # buckets are dealt to several tasks
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 40).alias("text"))
+    index = exact_dedup.build_index(docs, bucket_size=7)
+    assert index.directory.agg(F.max("spread")).first()[0] > 1
+    rows = exact_dedup.look_up(docs, index).collect()
+    assert len(rows) == 300 and all(r["keep_id"] == r["doc_id"] + (299 - r["doc_id"]) // 40 * 40 for r in rows)
+    broken = replace(index, directory=index.directory.withColumn("bucket", F.col("bucket") + 1))
+    assert exact_dedup.look_up(docs, broken).count() == 0
+    lost = replace(index, directory=index.directory.where(F.col("bucket") != index.directory.first()["bucket"]))
+    assert 0 < exact_dedup.look_up(docs, lost).count() < 300
+
+
+def test_chains_compare_bytes(spark, monkeypatch):
+    """With a key of two values nearly all texts collide; a collision is no copy."""
+    monkeypatch.setattr(exact_dedup, "_key", lambda text: F.xxhash64(F.length(text) % 2))
+    docs = awkward(spark)
+    rows = exact_dedup.mark_exact_duplicates(docs).collect()
+    assert len(rows) == 9 and len({r["text_sha256"] for r in rows}) == 6
+    assert sorted(r["group_size"] for r in rows) == [1, 1, 1, 1, 2, 2, 3, 3, 3]
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "5", "7", "8", "None"]
+
+
 def words(text):
     import re
 
