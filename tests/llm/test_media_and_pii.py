@@ -57,16 +57,64 @@ def test_variable_bitrate_stream():
     assert audio.kbps == {128, 160} and audio.offsets.tolist() == [0, 417, 834, 1251, 1773, 2295] and audio.samples == 6 * 1152
 
 
+def test_variable_bitrate_is_linear():
+    import time
+
+    heads = [bytes([0xFF, 0xFB, b << 4, 0x00]) for b in (9, 10, 11)]
+    stream = b"".join(h.ljust(mpeg.read_header(h).length, b"\0") for k in range(20_000) for h in [heads[k % 3]])
+    begin = time.time()
+    audio = mpeg.parse(stream)
+    assert len(audio.offsets) == 20_000 and audio.skipped == 0 and time.time() - begin < 10
+
+
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 4)), max_size=12))
+@settings(max_examples=80, deadline=None)
+def test_runs_give_offsets_back(steps):
+    offsets = np.cumsum(np.repeat([s for s, _ in steps], [n for _, n in steps])) if steps else np.zeros(0, np.int64)
+    back = [first + step * k for first, step, n in mpeg.runs_of(offsets) for k in range(n)]
+    assert back == offsets.tolist()
+
+
+def _field(name, body):
+    return name + len(body).to_bytes(4, "big") + b"\0\0" + body
+
+
+def _tagged(*fields):
+    body, sizes = b"".join(fields), (21, 14, 7, 0)
+    return b"ID3\x03\0\0" + bytes(len(body) >> s & 127 for s in sizes) + body
+
+
+def test_files_of_others(spark):
+    """A hand-built file with a variable-bitrate table, tags in other encodings, a null, an empty blob and other data."""
+    frame = lambda b: bytes([0xFF, 0xFB, b << 4, 0x00])
+    xing = (frame(9) + b"\0" * 32 + b"Xing" + (1).to_bytes(4, "big") + (3).to_bytes(4, "big")).ljust(417, b"\0")
+    vbr = xing + frame(9).ljust(417, b"\0") + frame(10).ljust(522, b"\0") + frame(9).ljust(417, b"\0")
+    tags = _tagged(_field(b"TIT2", b"\x01" + "Über".encode("utf-16")), _field(b"TXXX", b"\x03payload\x00not a number"), _field(b"COMM", b"\x00engfree form"), _field(b"TPE1", b""))
+    audio = mpeg.parse(tags + vbr)
+    assert audio.tags == {"TIT2": "Über", "payload": "not a number"} and audio.vbr["frames"] == 3 == len(audio.offsets) and audio.samples == 3 * 1152
+    damaged = mpeg.encode(b"x" * 2000)
+    damaged = damaged[:1000] + damaged[1240:]  # a frame is lost, so that the payload is not whole
+    blobs = [tags + vbr, None, b"", b"no audio at all" * 99, damaged, _tagged(_field(b"TXXX", b"\x00payload\x00384")) + vbr, mpeg.encode("é".encode())]
+    rows = {r["doc_id"]: r for r in mpeg.media_digest(spark.createDataFrame([(k, b, 1) for k, b in enumerate(blobs)], "doc_id long, media binary, feature int")).collect()}
+    assert (rows[0]["n_frames"], rows[0]["n_samples"], rows[0]["sample_rate"], rows[0]["table_frames"], rows[0]["n_bytes"], rows[0]["payload_sha256"]) == (3, 3456, 44100, 3, None, None)
+    assert [x for r in rows[0]["frame_runs"] for x in range(r["first"], r["first"] + max(1, r["step"]) * r["count"], max(1, r["step"]))] == [len(tags) + x for x in (417, 834, 1356)]
+    assert set(rows[1].asDict().values()) == {1, None} and rows[2]["media_bytes"] == 0 and rows[2]["feature"] is None and rows[3]["n_frames"] == 0
+    assert rows[4]["payload_bytes"] is None and rows[5]["payload_bytes"] is None and rows[6]["n_bytes"] == 2 and rows[6]["payload_bytes"] == 192
+
+
 def test_media_digest(spark):
-    rows = mpeg.media_digest(mpeg.store_media(awkward(spark)), with_offsets=True).toPandas()
+    stored = mpeg.store_media(awkward(spark))
+    rows = mpeg.media_digest(stored).toPandas()
     assert len(rows) == 9 and (rows.bad_checks == 0).all() and (rows.n_frames == rows.table_frames).all()
     assert rows[rows.doc_id == 2].payload_bytes.tolist() == [192] and rows[rows.doc_id == 2].n_bytes.tolist() == [0]
     long = rows[rows.doc_id == 4].iloc[0]
     from common_rows import LONG
 
     payload = LONG.encode().ljust(-(-len(LONG) // 192) * 192)
-    assert long.payload_sha256 == hashlib.sha256(payload).hexdigest() and long.tail_crc32 == zlib.crc32(payload[-16:]) and len(long.frame_offsets) == long.n_frames
-    assert rows[rows.doc_id.isin([1, 5])].drop(columns=["doc_id", "frame_offsets"]).drop_duplicates().shape[0] == 1
+    assert long.payload_sha256 == hashlib.sha256(payload).hexdigest() and long.tail_crc32 == zlib.crc32(payload[-16:])
+    assert rows[rows.doc_id.isin([1, 5])].drop(columns=["doc_id", "frame_runs"]).drop_duplicates().shape[0] == 1
+    told = lambda table: sorted((str(r["doc_id"]), r["n_bytes"], r["n_samples"], r["sample_rate"], str(r["frame_runs"])) for r in table.collect())
+    assert told(stored) == told(mpeg.media_digest(stored)), "what is stored beside a file is what the file says"
     assert mpeg.media_digest(mpeg.store_media(empty(spark))).count() == 0
 
 

@@ -7,7 +7,9 @@ ID3v1 tag ends the file. A player hears silence; the bytes come back whole.
 
 Parser: skips and reads tags, finds the first two agreeing frame headers, walks the frames, resynchronises after
 anything that is no frame, checks each CRC-16, reads the variable-bitrate table, and gives the exact duration (samples
-over sample rate) and the offset of every frame.
+over sample rate) and the offset of every frame. Its time grows as the file does, whatever the bitrates. It reads any
+file; one that holds no payload of ours, or no audio at all, has nulls for what it lacks. The media table keeps the exact
+duration and the frames' offsets, as runs of equal steps, beside each file.
 """
 
 from __future__ import annotations
@@ -147,19 +149,33 @@ class Audio:
         return self.samples / self.header.rate if self.header else 0.0
 
 
+_ENCODINGS = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}  # fixed values of the tag format
+
+
+def _text_field(body: bytes) -> list[str]:
+    """The strings of a text field, which its first byte tells the encoding of."""
+    kind = _ENCODINGS.get(body[0]) if body else None
+    return [] if kind is None else body[1:].decode(kind, "replace").replace("\ufeff", "").split("\x00")
+
+
 def _read_tags(buf: bytes, audio: Audio) -> tuple[int, int]:
     at, end = 0, len(buf)
     while buf[at : at + 3] == b"ID3" and at + 10 <= end:
         major, size = buf[at + 3], sum((x & 127) << s for x, s in zip(buf[at + 6 : at + 10], (21, 14, 7, 0), strict=True))
         p, stop = at + 10, min(end, at + 10 + size)
+        if buf[at + 5] & 64 and p + 4 <= stop:  # an extended header; in version 4 its size counts itself
+            n = buf[p : p + 4]
+            p += sum((x & 127) << s for x, s in zip(n, (21, 14, 7, 0), strict=True)) if major == 4 else 4 + struct.unpack(">I", n)[0]
         while major in (3, 4) and p + 10 <= stop and buf[p]:
             k, n = buf[p : p + 4].decode("latin-1"), struct.unpack(">I", buf[p + 4 : p + 8])[0]
             if major == 4:
                 n = sum((x & 127) << s for x, s in zip(buf[p + 4 : p + 8], (21, 14, 7, 0), strict=True))
             body, p = buf[p + 10 : min(stop, p + 10 + n)], p + 10 + n
-            if k[0] == "T" and body[:1] == b"\x00":
-                name, _, value = body[1:].decode("latin-1").partition("\x00")
-                audio.tags[name if k == "TXXX" else k] = value if k == "TXXX" else name
+            told = _text_field(body) if k[0] == "T" else []
+            if k == "TXXX" and len(told) > 1:
+                audio.tags[told[0]] = told[1]
+            elif told and k != "TXXX":
+                audio.tags[k] = told[0]
         at += 10 + size + 10 * bool(buf[at + 5] & 16)
     if end - at >= 128 and buf[end - 128 : end - 125] == b"TAG":
         audio.id3v1, end = True, end - 128
@@ -172,9 +188,9 @@ def _read_table(frame: bytes, h: Header) -> dict | None:
     for start in {at, at - 2 * h.protected}:
         if frame[start : start + 4] in (b"Xing", b"Info"):
             out: dict = {"kind": frame[start : start + 4].decode()}
-            flags, p = struct.unpack(">I", frame[start + 4 : start + 8])[0], start + 8
+            flags, p = int.from_bytes(frame[start + 4 : start + 8], "big"), start + 8
             for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
+                if flags & bit and p + 4 <= len(frame):
                     out[name], p = struct.unpack(">I", frame[p : p + 4])[0], p + 4
             if flags & 4:
                 out["seek"], p = list(frame[p : p + 100]), p + 100
@@ -208,11 +224,15 @@ def parse(buf: bytes) -> Audio:
             audio.skipped += found - at
             at = found
             continue
-        n = max(1, (end - at) // h.length)
+        most, n, step = max(1, (end - at) // h.length), 1, 8
+        while n < most:  # frames of the same header, looked for in growing steps
+            ahead = bytes_[at + n * h.length : at + min(most, n + step) * h.length].reshape(-1, h.length)
+            same = (ahead[:, :4] == bytes_[at : at + 4]).all(axis=1)
+            n += len(same) if same.all() else int(np.argmin(same))
+            if not same.all():
+                break
+            step *= 2
         rows = bytes_[at : at + n * h.length].reshape(n, h.length)
-        same = (rows[:, :4] == rows[0, :4]).all(axis=1)
-        n = n if same.all() else int(np.argmin(same))
-        rows = rows[:n]
         if h.protected and h.layer == 3:
             stated = rows[:, 4].astype(np.uint16) << 8 | rows[:, 5]
             audio.bad_checks += int((crc16(rows[:, [2, 3, *range(6, 6 + h.side)]]) != stated).sum())
@@ -230,6 +250,15 @@ def parse(buf: bytes) -> Audio:
     return audio
 
 
+def holds_payload(buf: bytes, audio: Audio) -> bool:
+    """Whether the file is one of ``encode``: the length in its tag is that of its frames, which all have its header."""
+    told, n = audio.tags.get("payload", ""), len(audio.offsets)
+    if not (told.isascii() and told.isdigit()) or not n or audio.header != _FRAME or max(1, -(-int(told) // UNIT)) != n:
+        return False
+    heads = np.frombuffer(buf, np.uint8)[audio.offsets[:, None] + np.arange(4)]
+    return bool((heads == np.frombuffer(_HEAD, np.uint8)).all()) and int(audio.offsets[-1]) + _FRAME.length <= len(buf)
+
+
 def payload_of(buf: bytes, audio: Audio) -> tuple[bytes, int]:
     """The padded payload of an encoded file, and how many of its units fail their CRC-32."""
     at = audio.offsets[:, None] + np.arange(_AT, _AT + UNIT + 4)
@@ -239,8 +268,24 @@ def payload_of(buf: bytes, audio: Audio) -> tuple[bytes, int]:
     return raw, sum(zlib.crc32(raw[k * UNIT : (k + 1) * UNIT]) != c for k, c in enumerate(stated))
 
 
-def feature_of(audio: Audio, payload: bytes) -> str:
-    """Format, exact duration, seek table and a coarse envelope (mean unit level in eight parts) as one string."""
+def runs_of(offsets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first, step, count) of runs of equally spaced offsets, which give every offset back."""
+    out, at = [], 0
+    gaps = np.diff(offsets)
+    change = np.flatnonzero(np.diff(gaps)) + 1 if len(gaps) else np.zeros(0, np.int64)
+    while at < len(offsets):
+        step = int(gaps[at]) if at < len(gaps) else 0
+        k = np.searchsorted(change, at + 1)
+        last = int(change[k]) if k < len(change) else len(offsets) - 1
+        out.append((int(offsets[at]), step, last - at + 1))
+        at = last + 1
+    return out
+
+
+def feature_of(audio: Audio, payload: bytes) -> str | None:
+    """Format, exact duration, seek table and a coarse envelope (mean unit level in eight parts); None without audio."""
+    if not audio.header:
+        return None
     levels = np.frombuffer(payload, np.uint8).reshape(-1, UNIT).sum(axis=1)
     parts = [int(p.sum() // (UNIT * len(p))) if len(p) else 0 for p in np.array_split(levels, 8)]
     h = audio.header
@@ -248,56 +293,95 @@ def feature_of(audio: Audio, payload: bytes) -> str:
     return f"mpeg{h.version}-layer{h.layer};{'/'.join(map(str, sorted(audio.kbps)))}kbps;{audio.samples}/{h.rate}s;frames={len(audio.offsets)};seek={seek:08x};envelope={bytes(parts).hex()}"
 
 
+_PART = 1 << 20  # bytes of texts or files handled at once, unless one alone has more
+
+
+def _parts(column: pa.Array, most_rows: int = 512) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of runs that hold about ``_PART`` bytes."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, first = np.cumsum(size, dtype=np.int64), 0
+    while first < len(size):
+        before = int(ends[first - 1]) if first else 0
+        last = min(first + most_rows, max(first + 1, int(np.searchsorted(ends, before + _PART, "right"))))
+        yield first, last - first
+        first = last
+
+
+_RUNS = pa.list_(pa.struct([("first", pa.int64()), ("step", pa.int32()), ("count", pa.int32())]))
+
+
+def _run_array(runs: list) -> pa.Array:
+    return pa.array([None if r is None else [dict(zip(("first", "step", "count"), x, strict=True)) for x in r] for r in runs], _RUNS)
+
+
 def _encode_task(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         ids, texts = batch.columns
-        for k in range(0, len(ids), 512):
-            data = [(t or "").encode() for t in texts.slice(k, 512).to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids.slice(k, 512), pa.array(map(len, data), pa.int64()), pa.array(map(encode, data), pa.binary())], ["doc_id", "n_bytes", "media"])
+        for k, n in _parts(texts):
+            data = [(t or "").encode() for t in texts.slice(k, n).to_pylist()]
+            media = [encode(d) for d in data]
+            frames = [max(1, -(-len(d) // UNIT)) for d in data]
+            runs = [[(len(m) - 128 - f * _FRAME.length, _FRAME.length if f > 1 else 0, f)] for m, f in zip(media, frames, strict=True)]
+            arrays = [ids.slice(k, n), pa.array(map(len, data), pa.int64()), pa.array(media, pa.binary()), pa.array([_FRAME.samples * f for f in frames], pa.int64()), pa.array([_FRAME.rate] * n, pa.int32()), _run_array(runs)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "media", "n_samples", "sample_rate", "frame_runs"])
 
 
-MEDIA = "doc_id long, n_bytes long, media binary"
+MEDIA = "doc_id long, n_bytes long, media binary, n_samples long, sample_rate int, frame_runs array<struct<first: long, step: int, count: int>>"
 DIGEST = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "n_frames long, n_samples long, sample_rate int, bad_checks long, resyncs long, table_frames long"
+    "n_frames long, n_samples long, sample_rate int, bad_checks long, resyncs long, table_frames long, frame_runs array<struct<first: long, step: int, count: int>>"
 )
 
 
 def to_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and ``media``, an MPEG audio file that holds the text's UTF-8 bytes.
+    """doc_id, n_bytes and ``media``, an MPEG audio file that holds the text's UTF-8 bytes, with its exact duration
+    (n_samples over sample_rate) and the offsets of its frames (``frame_runs``).
 
     A null or empty text gives one frame of blanks. Ids may be null or repeat; there is a row for each row. Other
-    columns are ignored. Equal texts give equal files.
+    columns are ignored. Equal texts give equal files. An empty table gives no rows.
     """
     on_workers(docs.sparkSession)
     chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return chosen.mapInArrow(_encode_task, MEDIA)
 
 
-def _digest_task(batches: Iterator[pa.RecordBatch], with_offsets: bool):
+def _digest(media: bytes | None) -> tuple:
+    if media is None:
+        return (None,) * 14
+    audio = parse(media)
+    payload, bad, n_bytes, own = None, 0, None, [None] * 3
+    if holds_payload(media, audio):
+        payload, bad = payload_of(media, audio)
+        n_bytes, own = int(audio.tags["payload"]), [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])]
+    rate = audio.header.rate if audio.header else None
+    file = [len(media), hashlib.sha256(media).hexdigest(), feature_of(audio, payload or b"")]
+    return (n_bytes, *own, *file, len(audio.offsets), audio.samples, rate, bad + audio.bad_checks, audio.resyncs, (audio.vbr or {}).get("frames"), runs_of(audio.offsets))
+
+
+def _digest_task(batches: Iterator[pa.RecordBatch]):
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = [x.split(" ")[0] for x in DIGEST.split(", ") if x.split(" ")[0] not in ("step:", "count:")]
     for batch in batches:
-        for k in range(0, batch.num_rows, 512):
-            rows, part = [], batch.slice(k, 512)
-            for media in part.column(2).to_pylist():
-                audio = parse(media)
-                payload, bad = payload_of(media, audio)
-                row = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(audio, payload)]
-                row += [len(audio.offsets), audio.samples, audio.header.rate, bad + audio.bad_checks, audio.resyncs, (audio.vbr or {}).get("frames")]
-                rows.append((int(audio.tags["payload"]), *row, audio.offsets))
-            columns = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            arrays = [part.column(0)] + [pa.array(c, t) for c, t in zip(columns, kinds, strict=False)]
-            names = [x.strip().split(" ")[0] for x in DIGEST.split(",")]
-            if with_offsets:
-                arrays.append(pa.array(columns[-1], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(arrays, names + ["frame_offsets"] * with_offsets)
-
-
-def media_digest(media: DataFrame, with_offsets: bool = False) -> DataFrame:
-    """Parses a table of encoded files: payload and file digests, exact duration, checks; optionally all seek offsets."""
+        for k, n in _parts(batch.column(1)):
+            part = batch.slice(k, n)
+            columns = list(zip(*(_digest(m) for m in part.column(1).to_pylist()), strict=True))
+            arrays = [part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False)), _run_array(columns[-1])]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+
+def media_digest(media: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """Parses a table of MPEG audio files, of this module or of others: a row for each row, with the columns of DIGEST.
+
+    ``n_samples`` over ``sample_rate`` is the exact duration; ``frame_runs`` gives the offset of every frame. A file that
+    holds no payload of ours has null n_bytes and payload columns; one without any frame (an empty blob, other data) also
+    a null feature and sample_rate, and no runs. A null blob has nulls but for its id. Ids may be null or repeat; an empty
+    table gives no rows; other columns are ignored.
+    """
     on_workers(media.sparkSession)
-    schema = DIGEST + (", frame_offsets array<long>" if with_offsets else "")
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(lambda it: _digest_task(it, with_offsets), schema)
+    chosen = media.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{media_col}`").alias("media"))
+    return chosen.mapInArrow(_digest_task, DIGEST)
 
 
 def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -64,7 +64,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpeg.media_digest(mpeg.store_media(_table(spark, sf_dir, "documents")))
+    return mpeg.media_digest(mpeg.store_media(_table(spark, sf_dir, "documents"))).drop("frame_runs")
 
 
 OP9_SQL = """
