@@ -19,8 +19,8 @@ The connected parts of this graph are then joined, each in a task by an inverted
 of the universe, where sets that differ by more than U are not similar, then what stays connected over whole sets,
 exactly. Parts above a fixed number of shingles, or with a large share of all, are cut into blocks, and each pair of
 blocks is a task. A task tells a spanning forest of the links it finds, and of each set the number of documents it links
-to there. Equal sets are one node throughout. Joins are by key with neither side broadcast, so that adaptive execution
-can split a hot key. Nothing but bounded tables and checksums comes to the driver.
+to there. Equal sets are one node throughout. Joins are by key with neither side broadcast, and what is joined is a table
+and not an aggregation that keeps a key's rows in place, so that adaptive execution can split a hot key. Nothing but bounded tables and checksums comes to the driver.
 """
 
 from __future__ import annotations
@@ -503,6 +503,7 @@ def joined_parts(chosen: DataFrame, parts: DataFrame, docs_of: DataFrame, sim: S
     total = parts.agg(F.sum("node.x"), F.count(F.lit(1))).first()
     even = F.when(F.col("size") >= _WORTH, F.least(F.lit(_SPREAD), F.ceil(F.sqrt(2.0 * width * F.col("size") / (total[0] or 1))))).otherwise(1)
     blocks = size.select("label", F.greatest(F.ceil(F.col("size") / block), even).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = settle(blocks, "jaccard-blocks")
     placed = parts.join(blocks.hint("merge"), "label", "left").select("node.x", "node.id", "label", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     if whole:
         placed = placed.join(docs_of.hint("merge"), ["x", "id"])
@@ -515,7 +516,7 @@ def joined_parts(chosen: DataFrame, parts: DataFrame, docs_of: DataFrame, sim: S
     dealt = sets.select("label", "own", tasks.alias("other"), "x", "id", "docs", "members").select(F.col("label.x").alias("px"), F.col("label.id").alias("pid"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "id", "docs", "members")
     dealt = dealt.repartition(width, "px", "pid", "i", "j").sortWithinPartitions("px", "pid", "i", "j")
     found = settle(dealt.mapInArrow(lambda it: _join_task(it, sim, whole), _LINKS), "jaccard-links" if whole else "jaccard-likely")
-    discard(placed)
+    discard(placed, blocks)
     return found
 
 
@@ -588,13 +589,14 @@ def _star_rounds(now: DataFrame, tag: str, max_rounds: int) -> DataFrame:
     last = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), tag)
         star = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = star.groupBy("a").agg(F.min("b").alias("m"))
-        hung = star.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        star = settle(star, tag)
+        lower = settle(star.groupBy("a").agg(F.min("b").alias("m")), tag)
+        hung = star.join(lower.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = hung.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        then = settle(down.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), tag)
-        discard(now)
+        then = settle(down.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), tag)
+        discard(now, least, star, lower)
         now = then
         sign = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if sign == last:
@@ -690,7 +692,7 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: Similarity | None = N
     documents = joined.documents.where("n_shingles > 0")
     nodes = documents.groupBy("x", "id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs")).withColumn("node", _node("x", "id"))
     labelled = nodes.join(joined.classes.hint("merge"), "node", "left").select("x", "id", "least", "docs", F.coalesce("label", "node").alias("label"))
-    lowest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    lowest = settle(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "jaccard-lowest")
     named = labelled.join(lowest.hint("merge"), "label").join(joined.counts.hint("merge"), ["x", "id"], "left")
     named = settle(named.select("x", "id", "component_id", (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-named")
     found = documents.join(named.hint("merge"), ["x", "id"]).select("doc_id", "n_shingles", "component_id", "n_links")
@@ -710,7 +712,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
     nodes = documents.groupBy("x", "id").agg(first.alias("first")).withColumn("node", _node("x", "id"))
     labelled = nodes.join(joined.classes.hint("merge"), "node", "left").select("x", "id", "first", F.coalesce("label", "node").alias("label"))
-    kept = labelled.groupBy("label").agg(F.min("first").alias("kept"))
+    kept = settle(labelled.groupBy("label").agg(F.min("first").alias("kept")), "jaccard-kept")
     named = settle(labelled.join(kept.hint("merge"), "label").select("x", "id", F.col("kept.row").alias("kept")), "jaccard-kept")
     gone = settle(documents.join(named.hint("merge"), ["x", "id"]).where("row <> kept").select(F.col("row").alias(name)), "jaccard-gone")
     return rows.join(gone.hint("merge"), name, "left_anti").drop(name)
