@@ -44,6 +44,64 @@ def test_trees_learn(spark):
     assert url_filter.train(rows.where("blocked = 1")).base > 5 and url_filter.train(rows.where("false")).base < 0
 
 
+def plain_trees(x, y, w, rounds, depth, rate, ridge, min_rows):
+    """Boosted trees over rows of bins, by definition; the margins of the rows."""
+    share = (y * w).sum() / w.sum()
+    margin = np.full(len(y), np.log(share / (1 - share)))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = w * (y - p), w * p * (1 - p)
+        add = np.zeros(len(y))
+
+        def grow(rows, level, g=g, h=h, add=add):
+            best, value = (1e-6, None), lambda r: g[r].sum() ** 2 / (h[r].sum() + ridge)
+            for f in range(x.shape[1]) if level < depth else []:
+                for b in np.unique(x[rows, f])[:-1]:
+                    left = rows[x[rows, f] <= b]
+                    right = rows[x[rows, f] > b]
+                    gain = value(left) + value(right) - value(rows)
+                    if min(w[left].sum(), w[right].sum()) >= min_rows and gain > best[0] + 1e-9:
+                        best = (gain, (left, right))
+            if best[1]:
+                grow(best[1][0], level + 1)
+                grow(best[1][1], level + 1)
+            else:
+                add[rows] = rate * g[rows].sum() / (h[rows].sum() + ridge)
+
+        grow(np.arange(len(y)), 0)
+        margin = margin + add
+    return margin
+
+
+def test_trees_against_a_plain_version(spark):
+    rnd = random.Random(2)
+    urls = [f"http://{rnd.choice(['a', 'bb', 'c-c'])}{rnd.randint(0, 30)}.{rnd.choice(['com', 'org', 'net'])}/{'x/' * rnd.randint(0, 4)}{rnd.randint(0, 999)}{rnd.choice(['', '?q=1', '?q=1&r=2'])}" for _ in range(250)]
+    rows = [(u, int(("?" in u) ^ (rnd.random() < 0.15))) for u in urls for _ in range(rnd.randint(1, 3))]
+    labelled = spark.createDataFrame(rows, "url string, blocked int")
+    model = url_filter.train(labelled, rounds=3, depth=2)
+    count = {}
+    for r in rows:
+        count[r] = count.get(r, 0) + 1
+    keys = sorted(count)
+    y, w = np.array([k[1] for k in keys], float), np.array([count[k] for k in keys], float)
+    table = spark.createDataFrame([(i, k[0]) for i, k in enumerate(keys)], "i long, url string")
+    table = table.withColumns({"host": url_filter.host_of(F.col("url")), "path": url_filter.path_of(F.col("url"))})
+    told = table.select("i", url_filter._suffix(F.col("host")).alias("s"), *(c.cast("double").alias(n) for n, c in url_filter.lexical_features(F.col("url"), F.col("host"), F.col("path")).items())).toPandas().sort_values("i")
+    rate_of = {s: ((y * w)[told.s == s].sum() + 20 * (y * w).sum() / w.sum()) / (w[told.s == s].sum() + 20) for s in set(told.s)}
+    told["suffix_rate"] = [rate_of[s] for s in told.s]
+    x = np.column_stack([np.sum([told[n].to_numpy() > e + (1e-12 if n == "suffix_rate" else 0) for e in edges], axis=0) if edges else np.zeros(len(told)) for n, edges in model.edges.items()])
+    want = 1 / (1 + np.exp(-plain_trees(x, y, w, 3, 2, 0.4, 1.0, 5.0)))
+    got = {r["url"]: r["block_score"] for r in url_filter.score(table.select("url").distinct(), model).collect()}
+    assert [got[k[0]] for k in keys] == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    bad, good = "http://bad.org/?q=1", [f"http://good{k}.com/" for k in range(60)]
+    labelled = spark.createDataFrame([(bad, 1)] * 500 + [(u, 0) for u in good], "url string, blocked int")
+    model = url_filter.train(labelled, sample=40, min_rows=1.0)
+    assert model.trees and len(model.suffixes.collect()) >= 1
+
+
 def test_margin_is_the_trees(spark):
     model = url_filter.Model(0.5, {"a": [1.0, 2.0]}, [("a", 0, -1.0, ("a", 1, 2.0, 3.0))])
     got = [r["m"] for r in spark.range(3).select(model.margin({"a": F.col("id")}).alias("m")).collect()]
@@ -160,6 +218,95 @@ def test_sentencepiece_tables(spark):
     assert spm.encode_documents(empty(spark), path).count() == 0
 
 
+def test_parity_is_of_whole_texts(spark, monkeypatch):
+    c = spm.Codec(queries.tokenizer("piece_bpe_32k.model"), 1)
+    original = c.original
+    seen = []
+
+    class Other:
+        def encode(self, texts, num_threads):
+            seen.extend(texts)
+            return [x if "odd" not in t else [*x, 0] for t, x in zip(texts, original.encode(texts), strict=True)]
+
+    monkeypatch.setattr(c, "original", Other())
+    texts = ["an odd text", "a plain text", ""]
+    assert c.encode(texts)[2].tolist() == [False, True, True] and seen == texts
+
+
+def plain_visible(html):
+    """The same by one pattern, which may take long where something is not closed."""
+    return re.sub(r"(?is)<(script|style|nav|footer)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", html)
+
+
+@given(st.lists(st.sampled_from(["<script>", "</script >", "<SCRIPT x='<b>'", "</Script", "<!--", "-->", "<p class=a>", "</p>", "<", ">", "text", " ", "<nav>", "</nav>", "<style>", "İ", "</style\n>", "<footers>", "-", "<footer/>"]), max_size=25))
+@settings(max_examples=500, deadline=None)
+def test_visible_text(parts):
+    html = "".join(parts)
+    assert language.visible_text(html) == plain_visible(html)
+
+
+def test_visible_text_is_linear():
+    import time
+
+    begin = time.time()
+    for part in ("<script ", "<script>", "<!-- ", "<", "<nav></nav ", "</script ", "<p>"):
+        language.visible_text(part * 60_000)
+    assert time.time() - begin < 20
+
+
+def plain_fusion(rows, m, weight=10.0, reliability=1.0):
+    """``fuse`` row by row."""
+    softmax = lambda x: np.exp(x - np.max(x)) / np.exp(x - np.max(x)).sum()
+    p = [softmax(np.array(r["text_log"])) for r in rows]
+    total = np.sum(p, axis=0)
+    declared = {d: np.sum([q for q, r in zip(p, rows, strict=True) if r["declared"] == d], axis=0) for d in {r["declared"] for r in rows} - {None}}
+    every = np.sum(list(declared.values()), axis=0) if declared else np.zeros(m)
+    out = []
+    for q, r in zip(p, rows, strict=True):
+        prior = (total + 1) / (total.sum() + m)
+        for level in ("suffix", "domain", "host"):
+            if r[level] is not None:
+                seen = np.maximum(np.sum([x for x, o in zip(p, rows, strict=True) if o[level] == r[level]], axis=0) - q, 0)
+                prior = (seen + weight * prior) / (seen.sum() + weight)
+        logs = np.array(r["text_log"]) + np.log(prior)
+        if r["declared"] is not None:
+            logs = logs + np.log((declared[r["declared"]] + reliability) / (every + reliability * m))
+        out.append(softmax(logs))
+    return out
+
+
+def test_fusion_against_a_plain_version(spark):
+    rnd, rows = random.Random(5), []
+    for k in range(120):
+        host = rnd.choice([None, "a.x.de", "b.x.de", "c.y.fr", "z.com"])
+        rows.append({"page_id": k, "text_log": [rnd.gauss(0, 2) for _ in range(3)], "declared": rnd.choice([None, "de", "fr"]), "host": host, "domain": host and ".".join(host.split(".")[-2:]), "suffix": host and host.split(".")[-1]})
+    table = spark.createDataFrame([tuple(r.values()) for r in rows], "page_id long, text_log array<double>, declared string, host string, domain string, suffix string")
+    got = {r["page_id"]: r for r in language.fuse(table, ["de", "en", "fr"]).collect()}
+    for k, want in enumerate(plain_fusion(rows, 3)):
+        assert got[k]["p"] == pytest.approx(list(want), abs=1e-9) and got[k]["lang"] == ["de", "en", "fr"][int(np.argmax(want))]
+
+
+def test_fusion_beats_text_alone(spark):
+    """Held-out accuracy: short texts of words that all languages share, where host and markup tell more than the words."""
+    rnd, langs = random.Random(6), ["en", "de", "fr"]
+    words = ["alpha", "bravo", "delta", "gamma", "omega", "sigma"]
+    text = lambda lang, n: " ".join(rnd.choices(words, [3 if k // 2 == langs.index(lang) else 1 for k in range(6)], k=n))
+    docs = [(k, text(lang, 30), lang, "s") for k, lang in enumerate(rnd.choices(langs, k=600))]
+    truth, pages = {}, []
+    for k in range(300):
+        lang = truth[k] = rnd.choice(langs)
+        pages.append((k, f"http://{lang}{k % 4}.site.org/x", f'<html lang="{lang if rnd.random() < 0.9 else "en"}"><p>{text(lang, 4)}</p></html>'))
+    got = language.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), spark.createDataFrame(pages, "page_id long, url string, html string")).where("page_id is not null").collect()
+    alone, fused = (sum(r[c] == truth[r["page_id"]] for r in got) for c in ("text_lang", "lang"))
+    assert fused >= alone + 30, (fused, alone)
+
+
+def test_every_label_is_a_language_and_ties_stay(spark):
+    docs = spark.range(520).selectExpr("id doc_id", "concat(translate(cast(id % 130 as string), '0123456789', 'abcdefghij'), 'word') text", "concat('l', id % 130) lang")
+    model = language.train(docs, features=5)
+    assert len(model.languages) == 130 and len(model.keys) == 5
+
+
 def test_language(spark):
     rnd = random.Random(0)
     vocab = {"en": ["the", "house", "water", "strong"], "de": ["das", "hausung", "wasser", "starken"], "fr": ["le", "maison", "eau", "forte"]}

@@ -8,6 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -94,6 +97,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def byte_parts(column: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 512) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of runs of a text or binary column that hold about ``most_bytes``, or one longer row."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, first = np.cumsum(size, dtype=np.int64), 0
+    while first < len(size):
+        before = int(ends[first - 1]) if first else 0
+        last = min(first + most_rows, max(first + 1, int(np.searchsorted(ends, before + most_bytes, "right"))))
+        yield first, last - first
+        first = last
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name`` or the first of ``name_1``, ``name_2``... that clashes with no column (case-insensitively)."""
     low, out, k = {c.lower() for c in taken}, name, 0

@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import on_workers, settle
+from tidemark.llm.common import byte_parts, on_workers, settle
 from tidemark.llm.shingles import IS_LETTER, blocks, words
 
 _U = np.uint64
 PREFIXES = (2, 4)
-_HIDDEN = re.compile(r"(?is)<(script|style|nav|footer)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+# Elements whose content is no text of the page.
+_HIDDEN = {name: (re.compile(rf"<{name}\b"), re.compile(rf"</{name}\s*>")) for name in ("script", "style", "nav", "footer")}
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @dataclass
@@ -76,12 +78,17 @@ def _count_task(batches: Iterator[pa.RecordBatch], languages: list[str]):
                 yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), *(pa.array(n[:, k]) for k in range(len(languages)))], ["key"] + [f"n{k}" for k in range(len(languages))])
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", sample: int = 20_000, features: int = 200_000, most_languages: int = 100) -> TextModel:
-    """Counts word beginnings in about ``sample`` labelled texts, chosen by hash; keeps the ``features`` most frequent."""
+def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", sample: int = 20_000, features: int = 200_000) -> TextModel:
+    """Counts word beginnings in about ``sample`` labelled texts, chosen by a hash of the text.
+
+    Keeps the ``features`` most frequent, ties in the order of their keys. Every label is a language; null labels teach
+    nothing, a null text is empty, and copies of a text are in the sample together or not at all. Without labels, or with
+    an empty table, the model has no languages. Other columns are ignored.
+    """
     spark = labelled.sparkSession
     on_workers(spark)
     rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("string").alias("lang")).where("lang is not null")
-    by = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    by = rows.groupBy("lang").count().collect()  # a row for each language
     languages, total = sorted(r["lang"] for r in by), sum(r["count"] for r in by)
     if not languages:
         return TextModel([], np.zeros(0, _U), np.zeros((0, 0)))
@@ -90,10 +97,9 @@ def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang
     counts = rows.where(share < sample / total).mapInArrow(lambda it: _count_task(it, languages), ", ".join(["key long", *(f"{n} long" for n in names)]))
     counts = counts.groupBy("key").agg(*(F.sum(n).alias(n) for n in names)).withColumn("n", sum((F.col(n) for n in names), F.lit(0)))
     counts = settle(counts.where("n > 2"), "language-counts")
-    found = counts.count()
-    if found > features:
-        counts = counts.where(F.col("n") > counts.approxQuantile("n", [1 - features / found], 0.001)[0])
-    table = counts.toArrow()  # at most about ``features`` rows
+    if counts.count() > features:
+        counts = counts.orderBy(F.desc("n"), "key").limit(features)
+    table = counts.toArrow()  # at most ``features`` rows
     keys = table.column("key").to_numpy().view(_U)
     order = np.argsort(keys)
     n = np.column_stack([table.column(c).to_numpy() for c in names]).astype(float)[order] if len(keys) else np.zeros((0, len(names)))
@@ -102,7 +108,34 @@ def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang
 
 
 def visible_text(html: str | None) -> str:
-    return _HIDDEN.sub(" ", html or "")
+    """The text outside of tags, comments and hidden elements, in one pass: what has no end is looked for only once.
+
+    A hidden element that is not closed loses its tag alone, an open comment is a tag, and an open tag is text.
+    """
+    html = html or ""
+    low, out, at, endless = html.translate(_LOWER), [], 0, set()
+    while (start := html.find("<", at)) >= 0:
+        stop = -1
+        if html.startswith("<!--", start) and "<!--" not in endless:
+            stop = html.find("-->", start + 4) + 3
+            if stop < 3:
+                endless.add("<!--")
+                stop = -1
+        else:
+            for name, (opened, closed) in _HIDDEN.items():
+                if low.startswith(name, start + 1) and opened.match(low, start) and name not in endless:
+                    found = closed.search(low, start)
+                    if found:
+                        stop = found.end()
+                    else:
+                        endless.add(name)
+        if stop < 0:
+            stop = html.find(">", start) + 1
+            if not stop:
+                break
+        out += html[at:start], " "
+        at = stop
+    return "".join([*out, html[at:]])
 
 
 def declared_language(html: Column) -> Column:
@@ -122,8 +155,8 @@ def host_parts(url: Column) -> tuple[Column, Column, Column]:
 def _likelihood_task(batches: Iterator[pa.RecordBatch], model: TextModel, html: bool):
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
-        for k in range(0, len(texts), 512):
-            part = texts.slice(k, 512)
+        for k, n in byte_parts(texts):
+            part = texts.slice(k, n)
             shown = pa.array([visible_text(t) for t in part.to_pylist()], pa.string()) if html else part
             for first, out in model.likelihoods(shown):
                 rows = [c.slice(k + first, len(out)) for c in batch.columns[:-1]]
@@ -149,7 +182,8 @@ def _softmax(logs: Column) -> Column:
 def fuse(evidence: DataFrame, languages: list[str], *, weight: float = 10.0, reliability: float = 1.0) -> DataFrame:
     """Adds ``lang``, ``confidence`` and ``text_lang`` to rows with text_log, declared, host, domain and suffix (may be null).
 
-    ``weight``: rows that a level's prior counts as; ``reliability``: the smoothing of declarations. A row without any
+    What is counted by host, domain, suffix and declaration is written to the shared folder, so that adaptive execution
+    can split the rows of a common one; rows that have none are dealt by a hash, not by null. ``weight``: rows that a level's prior counts as; ``reliability``: the smoothing of declarations. A row without any
     evidence gets the language that is most frequent by text. Ties go to the language first in order.
     """
     m = len(languages)
@@ -160,17 +194,25 @@ def fuse(evidence: DataFrame, languages: list[str], *, weight: float = 10.0, rel
     vector = lambda: F.array(*(F.col(f"s{k}") for k in range(m)))
     total = F.broadcast(total.select(F.transform(vector(), lambda x: (x + 1.0) / F.aggregate(vector(), F.lit(float(m)), lambda a, y: a + y)).alias("prior")))  # one row
     rows = rows.crossJoin(total)
+
+    def with_counts(rows: DataFrame, level: str, found: DataFrame) -> DataFrame:
+        # No level's name has this mark, so rows without one find nothing.
+        nobody = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("text_log", *(c for c in ("doc_id", "page_id") if c in rows.columns)), F.lit(997)).cast("string"))
+        keyed = rows.withColumn("_level", F.coalesce(F.col(level), nobody))
+        return keyed.join(found.withColumnRenamed(level, "_level").hint("merge"), "_level", "left").drop("_level")
+
     for level in ("suffix", "domain", "host"):
-        found = rows.where(F.col(level).isNotNull()).groupBy(level).agg(*sums).select(level, vector().alias("seen"))
-        rows = rows.join(found, level, "left")
+        seen = evidence.withColumn("text_p", _softmax(F.col("text_log")))
+        found = settle(seen.where(F.col(level).isNotNull()).groupBy(level).agg(*sums).select(level, vector().alias("seen")), f"language-{level}")
+        rows = with_counts(rows, level, found)
         others = F.zip_with(F.col("seen"), F.col("text_p"), lambda s, x: F.greatest(s - x, F.lit(0.0)))
         n = F.aggregate(others, F.lit(0.0), lambda a, x: a + x)
         drawn = F.zip_with(others, F.col("prior"), lambda o, q: o + weight * q)
         rows = rows.withColumn("prior", F.when(F.col("seen").isNull(), F.col("prior")).otherwise(F.transform(drawn, lambda x: x / (n + weight)))).drop("seen")
-    told = rows.where("declared is not null").groupBy("declared").agg(*sums).select("declared", vector().alias("by_lang"))
+    told = evidence.withColumn("text_p", _softmax(F.col("text_log"))).where("declared is not null").groupBy("declared").agg(*sums).select("declared", vector().alias("by_lang"))
     base = told.agg(*(F.sum(F.col("by_lang")[k]).alias(f"s{k}") for k in range(m))).select(vector().alias("all_lang"))
     told = told.crossJoin(F.broadcast(base)).select("declared", F.zip_with("by_lang", "all_lang", lambda x, a: F.log((x + reliability) / (a + reliability * m))).alias("declared_log"))
-    rows = rows.join(told, "declared", "left")
+    rows = with_counts(rows, "declared", settle(told, "language-declared"))
     zero = F.array_repeat(F.lit(0.0), m)
     logs = F.zip_with(F.col("text_log"), F.coalesce("declared_log", zero), lambda a, b: a + b)
     logs = F.zip_with(logs, F.col("prior"), lambda a, q: a + F.log(q))

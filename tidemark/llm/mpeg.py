@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import on_workers, settle
+from tidemark.llm.common import byte_parts, on_workers, settle
 
 UNIT = 192
 
@@ -293,22 +293,6 @@ def feature_of(audio: Audio, payload: bytes) -> str | None:
     return f"mpeg{h.version}-layer{h.layer};{'/'.join(map(str, sorted(audio.kbps)))}kbps;{audio.samples}/{h.rate}s;frames={len(audio.offsets)};seek={seek:08x};envelope={bytes(parts).hex()}"
 
 
-_PART = 1 << 20  # bytes of texts or files handled at once, unless one alone has more
-
-
-def _parts(column: pa.Array, most_rows: int = 512) -> Iterator[tuple[int, int]]:
-    """(first row, number of rows) of runs that hold about ``_PART`` bytes."""
-    import pyarrow.compute as pc
-
-    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    ends, first = np.cumsum(size, dtype=np.int64), 0
-    while first < len(size):
-        before = int(ends[first - 1]) if first else 0
-        last = min(first + most_rows, max(first + 1, int(np.searchsorted(ends, before + _PART, "right"))))
-        yield first, last - first
-        first = last
-
-
 _RUNS = pa.list_(pa.struct([("first", pa.int64()), ("step", pa.int32()), ("count", pa.int32())]))
 
 
@@ -319,7 +303,7 @@ def _run_array(runs: list) -> pa.Array:
 def _encode_task(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         ids, texts = batch.columns
-        for k, n in _parts(texts):
+        for k, n in byte_parts(texts):
             data = [(t or "").encode() for t in texts.slice(k, n).to_pylist()]
             media = [encode(d) for d in data]
             frames = [max(1, -(-len(d) // UNIT)) for d in data]
@@ -364,7 +348,7 @@ def _digest_task(batches: Iterator[pa.RecordBatch]):
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     names = [x.split(" ")[0] for x in DIGEST.split(", ") if x.split(" ")[0] not in ("step:", "count:")]
     for batch in batches:
-        for k, n in _parts(batch.column(1)):
+        for k, n in byte_parts(batch.column(1)):
             part = batch.slice(k, n)
             columns = list(zip(*(_digest(m) for m in part.column(1).to_pylist()), strict=True))
             arrays = [part.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False)), _run_array(columns[-1])]

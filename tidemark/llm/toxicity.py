@@ -207,8 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fits weights and calibration to about ``sample`` labelled documents, chosen by a hash of their id.
 
     Two thirds count towards the weights, one third towards the calibration. ``eligible``: which labels may be used.
-    Only what ``least`` documents hold is kept, and of that the ``features`` most frequent. Without labels of both
-    classes the model says that nothing is toxic.
+    Only what ``least`` documents hold is kept, and of that the ``features`` most frequent, ties in the order of their
+    keys. A null text is empty; null labels and ids teach nothing; of an id's labels the greatest counts. An id that
+    several documents have gives them all its label. Without labels of both classes, or without documents, the model
+    says that nothing is toxic. Other columns are ignored.
     """
     spark = docs.sparkSession
     on_workers(spark)
@@ -228,11 +230,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return Model(np.zeros(0, _U), np.zeros(0), np.zeros(0), 0.5, offset=-10.0)
     counts = fit.mapInArrow(_count_task, "key long, toxic long, total long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
     counts = settle(counts.where(F.col("total") >= least), "toxicity-counts")
-    found = counts.count()
-    if found > features:
-        edge = counts.approxQuantile("total", [1 - features / found], 0.001)[0]
-        counts = counts.where(F.col("total") > edge)
-    table = counts.toArrow()  # at most about ``features`` rows of three numbers
+    if counts.count() > features:
+        counts = counts.orderBy(F.desc("total"), "key").limit(features)
+    table = counts.toArrow()  # at most ``features`` rows of three numbers
     keys = table.column("key").to_numpy().view(_U)
     order = np.argsort(keys)
     model = Model(keys[order], table.column("toxic").to_numpy()[order].astype(float), table.column("total").to_numpy()[order].astype(float), toxic / total)
@@ -284,7 +284,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` whose text is not predicted to be toxic, with all their columns, in one pass and no join."""
+    """The rows of ``docs`` whose text is not predicted to be toxic, with all their columns, in one pass and no join.
+
+    A null or empty text has no evidence and stays, unless the labels make no evidence a sign. Rows are judged by their
+    text alone, whatever their ids; equal texts have one fate. An empty table stays empty.
+    """
     spark = docs.sparkSession
     on_workers(spark)
     sent, place = spark.sparkContext.broadcast(model), docs.columns.index(text_col)

@@ -1,8 +1,8 @@
 """Operator 6, URL filters: rules first, then gradient-boosted trees on lexical features, in DataFrame operations alone.
 
-Labelled URLs are turned into small integers (feature bins), equal rows are added up, and each level of each tree is one
-aggregation of gradients by (node, feature, bin) over that table. The trees become one SQL expression, so scoring runs
-inside the scan of the URLs.
+Labelled URLs are turned into small integers (feature bins), equal rows are added up, and each level of splits of each
+tree is one aggregation of gradients by (node, feature, bin) over that table; the leaves are the sums of the last splits.
+The trees become one SQL expression, so scoring runs inside the scan of the URLs.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, settle
+from tidemark.llm.common import discard, free_name, settings, settle
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -122,25 +122,28 @@ def _suffix(host: Column) -> Column:
 
 def _suffix_stats(sample: DataFrame, weight: float = 20.0) -> DataFrame:
     """Share of blocked URLs by suffix, drawn towards the share of all; at most a row for each sampled URL."""
-    total = sample.agg(F.avg("y").alias("p"))
-    return sample.groupBy("suffix").agg(F.sum("y").alias("s"), F.count("y").alias("n")).crossJoin(F.broadcast(total)).select("suffix", ((F.col("s") + weight * F.col("p")) / (F.col("n") + weight)).alias("rate"))
+    total = sample.agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("p"))
+    return sample.groupBy("suffix").agg(F.sum(F.col("y") * F.col("w")).alias("s"), F.sum("w").alias("n")).crossJoin(F.broadcast(total)).select("suffix", ((F.col("s") + weight * F.col("p")) / (F.col("n") + weight)).alias("rate"))
 
 
 def train(labelled: DataFrame, *, url_col: str = "url", label_col: str = "blocked", sample: int = 20_000, rounds: int = 8, depth: int = 3, bins: int = 12, rate: float = 0.4, ridge: float = 1.0, min_rows: float = 5.0) -> Model:
-    """Fits trees to (url, 0 or 1). At most ``sample`` labelled URLs are used, those with the smallest hashes.
+    """Fits trees to (url, 0 or 1). At most ``sample`` distinct labelled URLs are used, those with the smallest hashes.
 
-    Without labels the model's margin is -4 everywhere, with labels of one class it is that class.
+    A URL counts as often as it is labelled, however many rows repeat it. Rows without a label are passed by, a null URL
+    is an empty one. Without labels the model's margin is -4 everywhere, with labels of one class it is that class. Of
+    equally good splits the first feature in order and the least bin wins. Other columns are ignored.
     """
-    url = F.col(f"`{url_col}`")
-    picked = labelled.select(url.alias("url"), F.col(f"`{label_col}`").cast("double").alias("y")).where("y is not null").orderBy(F.xxhash64("url"), "url", "y").limit(sample)
+    url = F.coalesce(F.col(f"`{url_col}`"), F.lit(""))
+    picked = labelled.select(url.alias("url"), F.col(f"`{label_col}`").cast("double").alias("y")).where("y is not null")
+    picked = picked.groupBy("url", "y").agg(F.count(F.lit(1)).cast("double").alias("w")).orderBy(F.xxhash64("url"), "url", "y").limit(sample)
     picked = picked.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("suffix", _suffix(F.col("host")))
     picked = settle(picked.select("*", *(c.cast("double").alias(k) for k, c in lexical_features(F.col("url"), F.col("host"), F.col("path")).items())), "url-sample")
-    names = [c for c in picked.columns if c not in ("url", "y", "host", "path", "suffix")]
+    names = [c for c in picked.columns if c not in ("url", "y", "w", "host", "path", "suffix")]
     suffixes = settle(_suffix_stats(picked), "url-suffixes")
-    picked = picked.join(F.broadcast(suffixes), "suffix").withColumnRenamed("rate", "suffix_rate")
+    told = picked.join(F.broadcast(suffixes), "suffix").withColumnRenamed("rate", "suffix_rate")  # at most ``sample`` rows
     names.append("suffix_rate")
     cuts = [k / bins for k in range(1, bins)]
-    facts = picked.agg(F.count("y").alias("n"), F.sum("y").alias("s"), *(F.percentile_approx(c, cuts, 10_000).alias(c) for c in names)).first()
+    facts = told.agg(F.sum("w").alias("n"), F.sum(F.col("y") * F.col("w")).alias("s"), *(F.percentile_approx(c, cuts, 10_000).alias(c) for c in names)).first()
     n, s = facts["n"], facts["s"] or 0.0
     edges = {c: sorted(set(facts[c] or [])) for c in names}
     if not n:
@@ -149,17 +152,19 @@ def train(labelled: DataFrame, *, url_col: str = "url", label_col: str = "blocke
     model = Model(math.log(share / (1 - share)), edges, [], suffixes)
     if s in (0, n):
         return model
-    table = picked.select("y", *(_bin(F.col(c), edges[c]).alias(c) for c in names)).groupBy(*names).agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("w"))
+    table = told.select((F.col("y") * F.col("w")).alias("y"), "w", *(_bin(F.col(c), edges[c]).alias(c) for c in names)).groupBy(*names).agg(F.sum("y").alias("y"), F.sum("w").alias("w"))
     table = settle(table.coalesce(1), "url-bins")  # at most ``sample`` rows of small integers
-    for _ in range(rounds):
-        model.trees.append(_grow(table, names, model, depth, rate, ridge, min_rows))
+    # Plans over so few rows are not worth compiling, splitting or planning twice.
+    with settings(table.sparkSession, spark__sql__codegen__wholeStage="false", spark__sql__codegen__factoryMode="NO_CODEGEN", spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions="1"):
+        for _ in range(rounds):
+            model.trees.append(_grow(table, names, model, depth, rate, ridge, min_rows))
+    discard(picked, table)
     return model
 
 
 def _grow(table: DataFrame, names: list[str], model: Model, depth: int, rate: float, ridge: float, min_rows: float):
-    columns = {c: F.col(c) for c in names}
-    p = 1 / (1 + F.exp(-model.margin(columns)))
-    rows = table.select(*names, (F.col("y") - F.col("w") * p).alias("g"), (F.col("w") * p * (1 - p)).alias("h"), F.col("w"))
+    p = 1 / (1 + F.exp(-model.margin({c: F.col(c) for c in names})))
+    rows = table.select(*names, p.alias("p"), "y", "w").select(*names, (F.col("y") - F.col("w") * F.col("p")).alias("g"), (F.col("w") * F.col("p") * (1 - F.col("p"))).alias("h"), "w")
     splits: dict[int, tuple[str, int] | None] = {}
     leaves: dict[int, float] = {}
 
@@ -174,29 +179,30 @@ def _grow(table: DataFrame, names: list[str], model: Model, depth: int, rate: fl
 
         return walk(1)
 
-    for level in range(depth + 1):
-        sums = rows.withColumn("node", node_of()).select("node", "g", "h", "w", F.explode(F.array(*(F.struct(F.lit(c).alias("f"), F.col(c).alias("b")) for c in names))).alias("x"))
+    for level in range(depth):
+        cells = F.explode(F.array(*(F.struct(F.lit(k).alias("f"), F.col(c).alias("b")) for k, c in enumerate(names))))
+        sums = rows.select(node_of().alias("node"), "g", "h", "w", cells.alias("x")).where(F.col("node") >= 2**level)
         found = sums.groupBy("node", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("w").alias("w")).collect()  # nodes x features x bins
-        by: dict[int, dict[str, list]] = {}
+        by: dict[int, list[list]] = {}
         for r in found:
-            by.setdefault(r["node"], {}).setdefault(r["f"], []).append((r["b"], r["g"], r["h"], r["w"]))
+            by.setdefault(r["node"], [[] for _ in names])[r["f"]].append((r["b"], r["g"], r["h"], r["w"]))
         for node, features in by.items():
-            if node < 2**level:
-                continue
-            g, h, w = (sum(x[k] for x in features[names[0]]) for k in (1, 2, 3))
+            g, h, w = (sum(x[k] for x in features[0]) for k in (1, 2, 3))
             leaves[node] = rate * g / (h + ridge)
-            best = (1e-6, None)
-            for name in names if level < depth else []:
+            best = (1e-6, None, 0.0, 0.0)
+            for name, cells_of in zip(names, features, strict=True):
                 gl = hl = wl = 0.0
-                for b, g_, h_, w_ in sorted(features[name])[:-1]:
+                for b, g_, h_, w_ in sorted(cells_of)[:-1]:
                     gl, hl, wl = gl + g_, hl + h_, wl + w_
                     if min(wl, w - wl) < min_rows:
                         continue
                     gain = gl * gl / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g * g / (h + ridge)
                     if gain > best[0] + 1e-9:
-                        best = (gain, (name, b))
+                        best = (gain, (name, b), gl, hl)
             splits[node] = best[1]
-        if not any(splits.get(k) for k in by if k >= 2**level):
+            if best[1]:
+                leaves[2 * node], leaves[2 * node + 1] = rate * best[2] / (best[3] + ridge), rate * (g - best[2]) / (h - best[3] + ridge)
+        if not any(splits.get(k) for k in by):
             break
 
     def build(k: int):
@@ -206,7 +212,11 @@ def _grow(table: DataFrame, names: list[str], model: Model, depth: int, rate: fl
 
 
 def score(urls: DataFrame, model: Model, *, url_col: str = "url", out: str = "block_score") -> DataFrame:
-    """Adds ``out``, the model's probability that a URL is to be blocked. A null URL is scored as an empty one."""
+    """Adds ``out``, the model's probability that a URL is to be blocked; all rows and columns stay.
+
+    A null URL is scored as an empty one, equal URLs get equal scores, however long they are. ``out`` takes another name
+    if a column has it. An empty table stays empty.
+    """
     taken = list(urls.columns)
     temp = {n: free_name(taken, f"_{n}") for n in ("host", "path", "suffix", "x", "rate")}
     url = F.col(f"`{url_col}`")
