@@ -218,8 +218,8 @@ def test_draws_do_not_depend_on_partitioning(spark):
         assert np.allclose(a["dbar"].to_numpy(float)[3:], b["dbar"].to_numpy(float), equal_nan=True)
     panels = bootstrap.panel_table(spark, p, 4, 1)
     law = bootstrap.draw_table(spark, p, "student_null", 6, 10)
-    sizes = bootstrap.decisions(panels, law, law, 2, 6.3).collect()
-    assert {x["rule"] for x in sizes} == {"naive", "design_effect", "gaussian", "t_copula"} and all(0 <= x["size"] <= 1 for x in sizes)
+    sizes = bootstrap.decisions(panels, law, law, 2, {0.05: 6.3, 0.1: 3.1}).collect()
+    assert len(sizes) == 8 and {x["rule"] for x in sizes} == {"naive", "design_effect", "gaussian", "t_copula"} and all(0 <= x["size"] <= 1 for x in sizes)
     assert rng is not None
 
 
@@ -257,3 +257,26 @@ def test_empty_inputs(spark):
     assert windows.event_dummies(none.select("date"), ev).count() == 0
     assert statistics.welch(event_study.event_level(event_study.constant_mean(r, ev, StudyConfig())), "mean_car").first()["t"] is None
     assert isinstance(r.toPandas(), pd.DataFrame)
+
+
+def test_mann_whitney_by_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = [("Infrastructure" if k % 3 else "Regulatory", float(v)) for k, v in enumerate(rng.integers(0, 25, 400))] + [("Regulatory", None)]
+    table = spark.createDataFrame(rows, "type string, v double")
+    a, b = (np.array([v for t, v in rows if t == name and v is not None]) for name in ("Infrastructure", "Regulatory"))
+    u = (a[:, None] > b).sum() + 0.5 * (a[:, None] == b).sum()
+    for ranges in (2, 64):
+        row = statistics.mann_whitney(table, "v", ranges=ranges).first()
+        assert (row["u"], row["n1"], row["n2"]) == (u, len(a), len(b))
+    assert statistics.mann_whitney(table.where("false"), "v").first()["z"] is None
+
+
+def test_no_draws_have_no_tail(spark):
+    row = statistics.draw_summary(spark.createDataFrame([(None,), (None,)], "dbar double"), 1.0).first()
+    assert row["p_one"] is None and row["p_abs"] is None and row["share_dropped"] == 1.0
+
+
+def test_too_many_labelings_are_an_error(spark):
+    rows = spark.range(40).selectExpr("if(id % 2 = 0, 'Infrastructure', 'Regulatory') type", "cast(id as double) v")
+    with pytest.raises(Exception, match="more than 20 observations"):
+        statistics.exact_permutation(rows, "v").collect()

@@ -5,7 +5,7 @@ The fitted process is one broadcast object of fixed shape (days by assets); a ta
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -211,15 +211,30 @@ def panel_table(spark: SparkSession, process: Process, n: int, base_seed: int, n
     return spark.range(base_seed, base_seed + n, 1, width).mapInPandas(task, "seed long, dbar double, t_naive double, rbar double")
 
 
-def decisions(panels: DataFrame, gaussian: DataFrame, student: DataFrame, n_assets: int, t_critical: float) -> DataFrame:
-    """(rule, size, n, se): one-sided rejection rates at 0.05 of the naive t, the deflated t, and two reference laws."""
-    crit = gaussian.agg(F.percentile("dbar", F.lit(0.95)).alias("c_gaussian")).crossJoin(student.agg(F.percentile("dbar", F.lit(0.95)).alias("c_student")))
-    rows = panels.where("dbar is not null and t_naive is not null").crossJoin(F.broadcast(crit))
+def with_tails(process: Process, nu: float | None) -> Process:
+    """The process with ``nu`` degrees of freedom in every margin; None: as fitted."""
+    if nu is None:
+        return process
+    told = lambda params: {a: np.concatenate([v[:4], [nu], v[5:]]) for a, v in params.items()}
+    return replace(process, null_params=told(process.null_params), free_params=told(process.free_params))
+
+
+def decisions(panels: DataFrame, gaussian: DataFrame, student: DataFrame, n_assets: int, t_critical: dict[float, float]) -> DataFrame:
+    """(rule, alpha, size, n, se): one-sided rejection rates of the naive t, the deflated t, and two reference laws.
+
+    ``t_critical``: for each level the critical value of t. A law without draws, or no panel at all, gives a null size.
+    """
+    crit = lambda law, name: law.agg(*(F.percentile("dbar", F.lit(1 - a)).alias(f"{name}_{k}") for k, a in enumerate(t_critical)))
+    rows = panels.where("dbar is not null and t_naive is not null")
     deff = F.greatest(1 + (n_assets - 1) * F.col("rbar"), F.lit(1e-9))
-    rules = {"naive": F.col("t_naive") > t_critical, "design_effect": F.col("t_naive") / F.sqrt(deff) > t_critical, "gaussian": F.col("dbar") > F.col("c_gaussian"), "t_copula": F.col("dbar") > F.col("c_student")}
-    told = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), v.cast("double").alias("reject")) for k, v in rules.items()))).alias("r")).select("r.*")
-    out = told.groupBy("rule").agg(F.avg("reject").alias("size"), F.count("reject").alias("n"))
-    return out.withColumn("se", F.sqrt(F.col("size") * (1 - F.col("size")) / F.col("n")))
+    tested = []
+    for k, (alpha, t) in enumerate(t_critical.items()):
+        rules = {"naive": F.col("t_naive") > t, "design_effect": F.col("t_naive") / F.sqrt(deff) > t, "gaussian": F.col("dbar") > F.col(f"g_{k}"), "t_copula": F.col("dbar") > F.col(f"s_{k}")}
+        tested += [F.struct(F.lit(rule).alias("rule"), F.lit(alpha).alias("alpha"), v.cast("double").alias("reject")) for rule, v in rules.items()]
+    laws = crit(gaussian, "g").crossJoin(crit(student, "s"))  # one row
+    told = laws.join(rows, F.lit(True), "left").select(F.explode(F.array(*tested)).alias("r")).select("r.*")
+    out = told.groupBy("rule", "alpha").agg(F.avg("reject").alias("size"), F.count("reject").alias("n"))
+    return out.withColumn("se", F.sqrt(F.try_divide(F.col("size") * (1 - F.col("size")), "n")))
 
 
 def paired(base: DataFrame, other: DataFrame) -> DataFrame:

@@ -39,12 +39,22 @@ def welch(levels: DataFrame, value: str, group: str = "type", first: str = "Infr
     )
 
 
-def mann_whitney(rows: DataFrame, value: str, group: str = "type", first: str = "Infrastructure") -> DataFrame:
-    """One row: U of the first group, counts, the normal z with ties and continuity corrected."""
-    w = Window.partitionBy(F.lit(0)).orderBy(value)
-    ties = Window.partitionBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("t", F.count(F.lit(1)).over(ties)).withColumn("rank", F.rank().over(w) + (F.col("t") - 1) / 2.0)
-    out = ranked.agg(F.sum(F.when(F.col(group) == first, F.col("rank"))).alias("r"), F.count_if(F.col(group) == first).alias("n1"), F.count_if(F.col(group) != first).alias("n2"), F.sum((F.col("t") * F.col("t") - 1).cast("double")).alias("tie"))
+def mann_whitney(rows: DataFrame, value: str, group: str = "type", first: str = "Infrastructure", ranges: int = 64) -> DataFrame:
+    """One row: U of the first group, counts, the normal z with ties and continuity corrected; null values are left out.
+
+    Ranks come from counts of distinct values: each of about ``ranges`` ranges of values is counted on its own, and a
+    value's rank is what lies in lower ranges, what lies lower in its own, and half of what it shares.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col(group) == first).alias("t1"))
+    edges = rows.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 1000)).first()[0] or []  # at most ``ranges`` numbers
+    within = sum(((F.col("v") > float(e)).cast("int") for e in sorted(set(edges))), F.lit(0))
+    counted = counted.withColumn("k", within)
+    lower = counted.groupBy("k").agg(F.sum("t").alias("m")).withColumn("below", F.coalesce(F.sum("m").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    upto = F.sum("t").over(Window.partitionBy("k").orderBy("v"))
+    ranked = counted.withColumn("upto", upto).join(F.broadcast(lower.select("k", "below")), "k")
+    rank = F.col("below") + F.col("upto") - (F.col("t") - 1) / 2.0
+    t, t1 = F.col("t").cast("double"), F.col("t1")
+    out = ranked.agg(F.sum(t1 * rank).alias("r"), F.coalesce(F.sum(t1), F.lit(0)).alias("n1"), F.coalesce(F.sum(F.col("t") - t1), F.lit(0)).alias("n2"), F.sum(t * (t * t - 1)).alias("tie"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n, u = n1 + n2, F.col("r") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("tie"), n * (n - 1))))
@@ -202,10 +212,11 @@ def contingency(rows: DataFrame, flag: str, value: str, keys: tuple[str, ...] =
 
 
 def draw_summary(draws: DataFrame, observed: float, column: str = "dbar") -> DataFrame:
-    """One row: draws used, hits, add-one tails (one-sided and of sizes), mean, sd, share dropped."""
+    """One row: draws used, hits, add-one tails (one-sided and of sizes; null without draws), mean, sd, share dropped."""
     x = F.col(column)
+    tail = lambda hit: F.when(F.count(x) > 0, (F.count_if(hit) + 1) / (F.count(x) + 1))
     return draws.agg(
-        F.count(x).alias("n_used"), F.count_if(x >= observed).alias("hits"), ((F.count_if(x >= observed) + 1) / (F.count(x) + 1)).alias("p_one"), ((F.count_if(F.abs(x) >= abs(observed)) + 1) / (F.count(x) + 1)).alias("p_abs"),
+        F.count(x).alias("n_used"), F.count_if(x >= observed).alias("hits"), tail(x >= observed).alias("p_one"), tail(F.abs(x) >= abs(observed)).alias("p_abs"),
         F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.try_divide(F.count_if(x.isNull()), F.count(F.lit(1))).alias("share_dropped"),
     )
 
@@ -218,12 +229,12 @@ def rejection_rate(rows: DataFrame, reject: Column, *keys: str) -> DataFrame:
 def exact_permutation(rows: DataFrame, value: str, group: str = "type", first: str = "Infrastructure", most: int = 20) -> DataFrame:
     """One row: the observed mean gap, all labelings with as many first labels, and how many have a gap at least as large.
 
-    Labelings are the bit masks of n bits with k set; at most ``most`` observations.
+    Labelings are the bit masks of n bits with k set; more than ``most`` observations are an error, because their
+    labelings double with each.
     """
-    w = Window.partitionBy(F.lit(0)).orderBy(value, group)
-    data = rows.select(F.col(value).cast("double").alias("v"), (F.col(group) == first).cast("int").alias("f")).where("v is not null")
+    data = rows.select(F.col(value).cast("double").alias("v"), (F.col(group) == first).cast("int").alias("f")).where("v is not null").limit(most + 1)
     packed = data.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("v", "f"))).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v", "f"))), lambda x: x.v).alias("v"), F.sum("f").alias("k"), F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("f")).alias("sf"))
-    packed = packed.where(F.col("n") <= most)
+    packed = packed.withColumn("n", F.when(F.col("n") <= most, F.col("n")).otherwise(F.raise_error(F.lit(f"more than {most} observations to label")).cast("long")))
     masks = packed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, cast(n as int)) - 1"))).alias("mask")).where("bit_count(mask) = k")
     chosen = F.aggregate(F.zip_with("v", F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda v, i: F.when(F.call_function("getbit", F.col("mask"), i) == 1, v).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
     gap = lambda s: F.try_divide(s, "k") - F.try_divide(F.col("s") - s, F.col("n") - F.col("k"))
