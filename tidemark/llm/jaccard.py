@@ -514,7 +514,9 @@ def joined_parts(chosen: DataFrame, parts: DataFrame, docs_of: DataFrame, sim: S
     sets = _sets_of(chosen, placed, total[1], sim, most_bits, whole).withColumn("own", own)
     tasks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = sets.select("label", "own", tasks.alias("other"), "x", "id", "docs", "members").select(F.col("label.x").alias("px"), F.col("label.id").alias("pid"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "id", "docs", "members")
-    dealt = dealt.repartition(width, "px", "pid", "i", "j").sortWithinPartitions("px", "pid", "i", "j")
+    pair = F.col("j") * (F.col("j") + 1) / 2 + F.col("i")  # numbered from 0, so that the tasks of a part go to different partitions
+    task = F.pmod(F.xxhash64("px", "pid") % width + pair.cast("long"), F.lit(width)).cast("int")
+    dealt = dealt.repartitionById(width, task).sortWithinPartitions("px", "pid", "i", "j")
     found = settle(dealt.mapInArrow(lambda it: _join_task(it, sim, whole), _LINKS), "jaccard-links" if whole else "jaccard-likely")
     discard(placed, blocks)
     return found
