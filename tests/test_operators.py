@@ -280,3 +280,19 @@ def test_too_many_labelings_are_an_error(spark):
     rows = spark.range(40).selectExpr("if(id % 2 = 0, 'Infrastructure', 'Regulatory') type", "cast(id as double) v")
     with pytest.raises(Exception, match="more than 20 observations"):
         statistics.exact_permutation(rows, "v").collect()
+
+
+def test_stored_tables_against_recomputation(spark):
+    stored = spark.createDataFrame([("a", 1.0, 5, "x"), ("b", 2.0, 6, None), ("c", None, 7, "z"), ("d", 4.0, 8, "w")], "k string, v double, n int, t string")
+    computed = spark.createDataFrame([("a", 1.0 + 1e-9, 5, "x"), ("b", 2.1, 6, None), ("c", None, 9, "y"), ("e", 4.0, 8, "w")], "k string, v double, n int, t string")
+    rows = {r["column"]: r for r in verify.compare_tables(stored, computed, ["k"]).collect()}
+    assert {c: (r["n"], r["n_only_stored"], r["n_only_computed"], r["n_different"]) for c, r in rows.items()} == {"v": (3, 1, 1, 1), "n": (3, 1, 1, 1), "t": (3, 1, 1, 1)}
+    assert rows["v"]["largest"] == pytest.approx(0.1)
+
+
+def test_printed_cells(spark):
+    lines = ["Asset & mean & sd \\\\", r"BTC & 0.123*** & \textbf{4,321.5} \\", r"ETH & $-0.20$ & 3.0\% \\", "ADA & n/a & 7", "too & few"]
+    cells = verify.table_cells(spark.createDataFrame([(x,) for x in lines], "line string"), ["mean", "sd"])
+    results = spark.createDataFrame([("BTC", 0.12345, 4321.46), ("ETH", -0.2049, 3.06), ("ADA", 1.0, 7.4)], "asset string, mean double, sd double")
+    got = {(r["label"], r["column"]): (r["printed"], r["digits"], r["agrees"]) for r in verify.compare_cells(cells, results, "asset", ["mean", "sd"]).collect()}
+    assert got == {("BTC", "mean"): (0.123, 3, True), ("BTC", "sd"): (4321.5, 1, True), ("ETH", "mean"): (-0.2, 2, True), ("ETH", "sd"): (3.0, 1, False), ("ADA", "sd"): (7.0, 0, True)}

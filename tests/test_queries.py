@@ -56,7 +56,8 @@ WIDE = os.environ.get("TIDEMARK_TESTDATA_WIDE", "/root/testdata/sf0.01")
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_rows(spark, name):
-    rows = QUERIES[name](spark, WIDE if os.path.isdir(WIDE) else DATA).toPandas()
+    simulated = name[0] == "b" and name[1].isdigit() and os.path.isdir(WIDE)  # the smallest series are short
+    rows = QUERIES[name](spark, WIDE if simulated else DATA).toPandas()
     assert len(rows) == ROWS.get(name, len(rows)) and len(rows) > 0
     numbers = rows.select_dtypes("number")
     assert np.isfinite(numbers.to_numpy(float, na_value=0.0)).all()

@@ -56,3 +56,56 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(f"file://{tmp_path}/csv", header=True, schema="k int, v double").first()["v"] == 0.1 + 0.2
     a, b = (sinks.run_record(spark, "x", {"seed": 1}, {"t": t}).first()["inputs"] for t in (rows, rows.repartition(3)))
     assert a == b
+
+
+def test_sections(spark, tmp_path):
+    a = spark.createDataFrame([("x, y", 0.1 + 0.2), ("z", None)], "name string, v double")
+    b = spark.createDataFrame([(1, True)], "k int, ok boolean")
+    sinks.write_sections({"first table": a, "second": b}, f"file://{tmp_path}/s")
+    back = readers.read_sections(spark, f"file://{tmp_path}/s/*.txt", {"first table": "name string, v double", "second": "k int, ok boolean"})
+    assert sorted(map(str, back["first table"].collect())) == sorted(map(str, a.collect())) and back["second"].collect() == b.collect()
+    text = next((tmp_path / "s").glob("*.txt")).read_text()
+    assert text.startswith("# first table\nname,v\n") and "# second\nk,ok\n1,true\n" in text
+
+
+def test_archive(spark, tmp_path):
+    import numpy as np
+
+    draws = {"dbar": np.array([0.1, np.nan, -0.0, np.inf]), "used": np.array([True, False, True, True]), "gaps": np.arange(6.0).reshape(2, 3), "none": np.zeros(0)}
+    for path in (f"file://{tmp_path}/draws",) * 2:
+        sinks.write_archive(spark, path, draws, {"seed": "42", "law": "t copula"})
+        arrays, notes = sinks.read_archive(spark, path)
+    assert notes == {"seed": "42", "law": "t copula"} and {k: (v.dtype, v.shape, v.tobytes()) for k, v in arrays.items()} == {k: (v.dtype, v.shape, v.tobytes()) for k, v in draws.items()}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(sinks, "read_archive", lambda *_: ({}, {}))
+        with pytest.raises(sinks.ReadBackError):
+            sinks.write_archive(spark, f"file://{tmp_path}/draws", draws)
+
+
+def test_pages():
+    from tidemark.sources import paged
+
+    table, asked = [(t, 1.0, 2.0, 0.5, 1.5, float(t)) for t in range(0, 2500)], []
+
+    def fetch(endpoint, symbol, start, limit):
+        asked.append((endpoint, start))
+        if endpoint == "down":
+            raise OSError("refused")
+        return [r for r in table if r[0] >= start][:limit]
+
+    got = [r for page in paged.pages(fetch, ["down", "up"], "A", 3, 2400) for r in page]
+    assert got == table[3:2400] and [s for e, s in asked if e == "up"] == [3, 1003, 2003]
+    assert paged.fingerprint(got) == paged.fingerprint(got[::-1]) != paged.fingerprint(got[1:])
+    with pytest.raises(paged.NoEndpoint, match="refused"):
+        list(paged.pages(fetch, ["down"], "A", 0, 10))
+    assert list(paged.pages(fetch, ["up"], "A", 5000, 6000)) == []
+
+
+def test_quotes(spark):
+    from tidemark.sources import paged
+
+    def fetch(endpoint, symbol, start, limit):
+        return [(t, 1.0, 2.0, 0.5, 1.5, 9.0) for t in range(start, 1300)][:limit] if symbol != "none" else []
+
+    rows = paged.read_quotes(spark, fetch, ["one"], ["a", "b", "none"], 0, 1200)
+    assert {r["symbol"]: r["count"] for r in rows.groupBy("symbol").count().collect()} == {"a": 1200, "b": 1200}

@@ -38,3 +38,48 @@ def array_hash(arrays: dict[str, np.ndarray]) -> str:
         h.update(f"{name}:{a.dtype.str}:{a.shape}".encode())
         h.update(np.ascontiguousarray(a).tobytes())
     return h.hexdigest()
+
+
+def compare_tables(stored: DataFrame, computed: DataFrame, keys: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """(column, n, n_only_stored, n_only_computed, n_different, largest): a stored table against its recomputation.
+
+    Numbers differ beyond ``tolerance`` relative to the larger one (or 1); other values if they are not equal; null and
+    NaN are equal to themselves alone.
+    """
+    columns = [c for c in stored.columns if c not in keys]
+    a = stored.select(*keys, F.struct(*columns).alias("a"))
+    b = computed.select(*keys, F.struct(*columns).alias("b"))
+    both = a.join(b, keys, "full")
+    kinds = dict(stored.dtypes)
+    out = []
+    for c in columns:
+        x, y = F.col(f"a.`{c}`"), F.col(f"b.`{c}`")
+        held = F.col("a").isNotNull() & F.col("b").isNotNull()
+        if kinds[c] in ("double", "float", "int", "bigint", "smallint", "tinyint") or kinds[c].startswith("decimal"):
+            gap = F.abs(x.cast("double") - y.cast("double"))
+            far = F.coalesce(gap > tolerance * F.greatest(F.abs(x.cast("double")), F.abs(y.cast("double")), F.lit(1.0)), ~x.eqNullSafe(y))
+        else:
+            gap, far = F.lit(None).cast("double"), ~x.eqNullSafe(y)
+        out.append(F.struct(F.lit(c).alias("column"), F.count_if(held).alias("n"), F.count_if(F.col("b").isNull()).alias("n_only_stored"), F.count_if(F.col("a").isNull()).alias("n_only_computed"), F.count_if(held & far).alias("n_different"), F.max(F.when(held, gap)).alias("largest")))
+    return both.agg(F.array(*out).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def table_cells(lines: DataFrame, columns: list[str], separator: str = "&", line: str = "line") -> DataFrame:
+    """(label, column, printed, digits) of the cells of printed table rows: a label, then a number for each column.
+
+    Marks of significance, thousands' commas, percent signs, dollar signs, formatting commands and the end of a row are
+    left out; lines with another number of cells are no rows.
+    """
+    cells = F.transform(F.split(F.regexp_replace(line, r"\\\\\s*$", ""), f"[{separator}]"), lambda c: F.trim(F.regexp_replace(c, r"\\[a-z]+\{|\\[%$&]|[}$*%]|\\[a-z]+|(?<=\d),(?=\d{3})", "")))
+    told = lines.select(cells.alias("c")).where(F.size("c") == len(columns) + 1)
+    value = lambda k: F.struct(F.lit(columns[k]).alias("column"), F.regexp_extract(F.col("c")[k + 1], r"^[-+]?\d+(?:\.(\d+))?$", 0).alias("text"))
+    long = told.select(F.col("c")[0].alias("label"), F.explode(F.array(*(value(k) for k in range(len(columns))))).alias("v")).where("v.text <> ''")
+    return long.select("label", "v.column", F.col("v.text").cast("double").alias("printed"), F.length(F.regexp_extract("v.text", r"\.(\d+)$", 1)).alias("digits"))
+
+
+def compare_cells(cells: DataFrame, results: DataFrame, label: str, columns: list[str]) -> DataFrame:
+    """(label, column, printed, digits, value, agrees): printed cells against results, to the digits that are printed."""
+    told = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns)))
+    long = results.select(F.col(label).alias("label"), told.alias("v")).select("label", "v.*")
+    half = 0.5 * F.pow(F.lit(10.0), -F.col("digits").cast("double")) * (1 + 1e-9)
+    return cells.join(long, ["label", "column"], "left").withColumn("agrees", F.coalesce(F.abs(F.col("printed") - F.col("value")) <= half, F.lit(False)))

@@ -88,3 +88,16 @@ def read_latest_cache(spark: SparkSession, pattern: str) -> DataFrame:
     rows = spark.read.schema(OHLCV).parquet(pattern).withColumn("file", F.input_file_name())
     latest = rows.groupBy("symbol").agg(F.max("file").alias("file"))
     return rows.join(F.broadcast(latest), ["symbol", "file"]).select(F.col("symbol").alias("asset"), F.to_date("timestamp").alias("date"), F.col("returns").alias("ret"))
+
+
+def read_sections(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables of a file whose sections begin with a line ``# name`` and a header; ``schemas`` by name of section.
+
+    Lines before the first section, empty lines and sections without a schema are passed by.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).where("trim(line) <> ''")
+    order = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # the lines of one file
+    name = F.when(F.col("line").startswith("#"), F.trim(F.regexp_replace("line", "^#+", "")))
+    told = lines.withColumn("section", F.last(name, ignorenulls=True).over(order)).withColumn("nth", F.row_number().over(Window.partitionBy("section").orderBy("at")))
+    body = told.where("nth > 2")  # after the name and the header
+    return {k: body.where(F.col("section") == k).select(F.from_csv("line", schema).alias("r")).select("r.*") for k, schema in schemas.items()}
