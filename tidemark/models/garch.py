@@ -1,8 +1,8 @@
 """GJR-GARCH with exogenous variance terms and Student-t errors: recursion, likelihood, constrained fit, standard errors.
 
 The recursion v(t) = u(t) + beta v(t-1) is linear while its floor is not touched, so it is evaluated as a parallel
-prefix (doubling) over whole arrays; so are the derivatives, which follow the same recursion. A path that touches the
-floor is evaluated step by step.
+prefix (doubling) over whole arrays. A path that touches the
+floor is evaluated step by step. The gradient needs one more recursion, backwards, whatever the number of parameters.
 """
 
 from __future__ import annotations
@@ -110,15 +110,13 @@ def gradient(data: Data, p: np.ndarray) -> tuple[float, np.ndarray]:
         nu = p[4]
         if not (nu > 2 and np.all(np.isfinite(v))):
             return PENALTY, np.zeros(len(p))
-        push = data.drivers.copy()
-        lag = np.zeros((len(v), 1))
-        lag[1:, 0] = v[:-1]
-        dv = linear_recursion(np.hstack([push[:, :3], lag, push[:, 3:]]), p[3])
-        dv[v <= FLOOR] = 0
         z = data.square / v
         weight = (nu + 1) * z / (nu - 2 + z)
-        by_v = 0.5 * (weight - 1) / v
-        g = by_v @ dv
+        by_v = np.where(v > FLOOR, 0.5 * (weight - 1) / v, 0.0)
+        # What a driver at t adds to all later variances, weighted: the recursion run backwards.
+        later = linear_recursion(by_v[::-1], p[3])[::-1]
+        told = later @ data.drivers
+        g = np.concatenate([told[:3], [later[1:] @ v[:-1]], told[3:]])
         by_nu = len(v) * (0.5 * _digamma((nu + 1) / 2) - 0.5 * _digamma(nu / 2) - 0.5 / (nu - 2)) - 0.5 * np.log1p(z / (nu - 2)).sum() + (nu + 1) / 2 * (z / ((nu - 2) * (nu - 2 + z))).sum()
         f = -_density(data, v, nu)
     out = -np.concatenate([g[:4], [by_nu], g[4:]])

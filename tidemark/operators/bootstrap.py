@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.models import copula, garch, resampling
 
 DELTA_CAP = 50.0
-DRAWS = "seed long, dbar double, rescues long, rescued long, floor_hits long, exploded long"
+DRAWS = "seed long, dbar double, fits long, rescues long, rescued long, floor_hits long, exploded long"
 
 
 def grouped_difference(rows: DataFrame, value: str, group: str = "type", first: str = "Infrastructure", reps: int = 5000, seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -145,24 +145,26 @@ def simulate(process: Process, scheme: str, seed: int, root: np.ndarray, nu_copu
     return out, floor, exploded
 
 
-def refit(process: Process, returns: dict[str, np.ndarray], rescue_seed: int = 20260807) -> tuple[np.ndarray | None, int, int]:
-    """(gap of the two event terms by asset or None, rescues tried, rescues that worked).
+def refit(process: Process, returns: dict[str, np.ndarray], rescue_seed: int = 20260807) -> tuple[np.ndarray | None, int, int, int]:
+    """(gap of the two event terms by asset or None, fits made, rescues tried, rescues that worked).
 
     A fit that does not converge, or whose event terms exceed the cap, is tried again from six starts, once.
     """
-    gaps, tried, worked = [], 0, 0
+    gaps, fits, tried, worked = [], 0, 0, 0
     fine = lambda f: f.ok and abs(f.params[5]) <= DELTA_CAP and abs(f.params[6]) <= DELTA_CAP
     for a in process.assets:
         data = garch.Data(returns[a], process.exog[a])
         found = garch.fit(data)
+        fits += 1
         if not fine(found):
             tried += 1
             found = garch.fit_multistart(data, 6, rescue_seed)
+            fits += 6
             if not fine(found):
-                return None, tried, worked
+                return None, fits, tried, worked
             worked += 1
         gaps.append(found.params[5] - found.params[6])
-    return np.array(gaps), tried, worked
+    return np.array(gaps), fits, tried, worked
 
 
 def draw_table(spark: SparkSession, process: Process, scheme: str, n: int, base_seed: int, nu_copula: float | None = 6.0, by_asset: bool = False) -> DataFrame:
@@ -179,9 +181,9 @@ def draw_table(spark: SparkSession, process: Process, scheme: str, n: int, base_
             rows = []
             for seed in pdf["id"].tolist():
                 returns, floor, exploded = simulate(sent.value, scheme, seed, root, nu_copula)
-                gaps, tried, worked = (None, 0, 0) if exploded else refit(sent.value, returns)
-                rows.append((seed, None if gaps is None else float(gaps.mean()), tried, worked, floor, exploded, None if gaps is None else gaps.tolist()))
-            yield pd.DataFrame(rows, columns=["seed", "dbar", "rescues", "rescued", "floor_hits", "exploded", "gaps"])
+                gaps, fits, tried, worked = (None, 0, 0, 0) if exploded else refit(sent.value, returns)
+                rows.append((seed, None if gaps is None else float(gaps.mean()), fits, tried, worked, floor, exploded, None if gaps is None else gaps.tolist()))
+            yield pd.DataFrame(rows, columns=["seed", "dbar", "fits", "rescues", "rescued", "floor_hits", "exploded", "gaps"])
 
     width = max(1, min(n, spark.sparkContext.defaultParallelism * 4))
     out = spark.range(base_seed, base_seed + n, 1, width).mapInPandas(task, f"{DRAWS}, gaps array<double>")
@@ -200,7 +202,7 @@ def panel_table(spark: SparkSession, process: Process, n: int, base_seed: int, n
             for seed in pdf["id"].tolist():
                 p = sent.value
                 returns, _, _ = simulate(p, "student_null", seed, root, nu_copula)
-                gaps, _, _ = refit(p, returns)
+                gaps, *_ = refit(p, returns)
                 wide = pd.DataFrame({a: pd.Series(returns[a], index=p.place[a]) for a in p.assets}).dropna()
                 rbar = float(wide.corr().to_numpy()[upper].mean())
                 t = None if gaps is None or gaps.std(ddof=1) == 0 else float(gaps.mean() / (gaps.std(ddof=1) / np.sqrt(m)))

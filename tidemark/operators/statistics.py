@@ -211,13 +211,14 @@ def contingency(rows: DataFrame, flag: str, value: str, keys: tuple[str, ...] =
     return out.withColumn("chi2_yates", chi)
 
 
-def draw_summary(draws: DataFrame, observed: float, column: str = "dbar") -> DataFrame:
-    """One row: draws used, hits, add-one tails (one-sided and of sizes; null without draws), mean, sd, share dropped."""
+def draw_summary(draws: DataFrame, observed: float, column: str = "dbar", sums: tuple[str, ...] = ()) -> DataFrame:
+    """One row: draws used, hits, add-one tails (one-sided and of sizes; null without draws), mean, sd, share dropped, sums."""
     x = F.col(column)
     tail = lambda hit: F.when(F.count(x) > 0, (F.count_if(hit) + 1) / (F.count(x) + 1))
     return draws.agg(
         F.count(x).alias("n_used"), F.count_if(x >= observed).alias("hits"), tail(x >= observed).alias("p_one"), tail(F.abs(x) >= abs(observed)).alias("p_abs"),
         F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.try_divide(F.count_if(x.isNull()), F.count(F.lit(1))).alias("share_dropped"),
+        *(F.sum(c).alias(c) for c in sums),
     )
 
 

@@ -318,7 +318,7 @@ def _process(spark, d):
 
 def _scheme(spark, d, scheme: str, nu: float | None = 6.0):
     p = _process(spark, d)
-    return st.draw_summary(bs.draw_table(spark, p, scheme, DRAWS, 1000, nu), p.dbar).withColumn("observed", F.lit(p.dbar))
+    return st.draw_summary(bs.draw_table(spark, p, scheme, DRAWS, 1000, nu), p.dbar, sums=("fits",)).withColumn("observed", F.lit(p.dbar))
 
 
 @query()
@@ -372,8 +372,7 @@ def b10_student_free(spark, d):
 @query()
 def b11_recursive_null(spark, d):
     p = _process(spark, d)
-    draws = bs.draw_table(spark, p, "recursive_null", DRAWS, 4000)
-    return st.draw_summary(draws, p.dbar).crossJoin(draws.agg(F.sum("floor_hits").alias("floor_hits"), F.sum("exploded").alias("exploded")))
+    return st.draw_summary(bs.draw_table(spark, p, "recursive_null", DRAWS, 4000), p.dbar, sums=("floor_hits", "exploded"))
 
 
 @query()
@@ -413,7 +412,7 @@ def b14_perturbed_process(spark, d):
     gaussian = bs.draw_table(spark, p, "student_null", n, 9000, None).persist()
     for name, (nu, copula_nu, told_nu, told_copula) in SCENARIOS.items():
         if (told_nu, told_copula) not in laws:
-            laws[told_nu, told_copula] = bs.draw_table(spark, bs.with_tails(p, told_nu), "student_null", n, 9500, told_copula)
+            laws[told_nu, told_copula] = bs.draw_table(spark, bs.with_tails(p, told_nu), "student_null", n, 9500, told_copula).persist()
         panels = bs.panel_table(spark, bs.with_tails(p, nu), n, 6000, copula_nu)
         one = _decided(spark, p, panels, gaussian, laws[told_nu, told_copula]).withColumn("scenario", F.lit(name))
         out = one if out is None else out.unionByName(one)
@@ -424,7 +423,7 @@ def b14_perturbed_process(spark, d):
 def b15_copula_df_grid(spark, d):
     p, base, rows = _process(spark, d), None, None
     for nu in (3.83, 5.9, 8.0):
-        draws = bs.draw_table(spark, p, "student_null", PANELS, 10_000, nu)
+        draws = bs.draw_table(spark, p, "student_null", PANELS, 10_000, nu).persist()  # a row for each draw
         base = draws if base is None else base
         part = st.draw_summary(draws, p.dbar).crossJoin(bs.paired(base, draws)).withColumn("nu_copula", F.lit(nu))
         rows = part if rows is None else rows.unionByName(part)
