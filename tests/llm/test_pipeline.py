@@ -1,5 +1,7 @@
 import random
 
+import pytest
+from common_rows import awkward, empty
 
 import corpus_pipeline
 
@@ -40,3 +42,22 @@ def test_stages_take_effect(spark, tmp_path):
     out = corpus_pipeline.run(spark, d)
     assert {r["doc_id"] for r in out.collect()} == set(seen["packing"])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "pii", "packing"] and corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("make", [awkward, empty])
+def test_awkward_documents_pass_all_stages(spark, tmp_path, make):
+    d = f"file://{tmp_path}"
+    spark.createDataFrame([(1, 1, 0), (4, 1, 1), (None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    now = make(spark)
+    columns, kept = now.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, d)
+        assert name == "packing" or now.columns == columns
+        now.write.parquet(f"{d}/{name}")
+        now = spark.read.parquet(f"{d}/{name}")
+        kept[name] = sorted(str(r["doc_id"]) for r in now.collect())
+    if make is empty:
+        assert not any(kept.values())
+        return
+    assert len(kept["toxicity"]) == 9, "labels of one usable class"
+    assert kept["exact_dedup"] == kept["near_dedup"] == kept["pii"] == ["3", "4", "5", "7", "8", "None"] and set(kept["packing"]) == set(kept["pii"])

@@ -6,7 +6,7 @@ import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +76,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     _MADE.discard(path)
 
 
+def settle_alone(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """Settles what ``make`` returns and deletes every table that was settled on the way."""
+    before = set(_MADE)
+    out = settle(make(), tag)
+    for path in sorted(_MADE - before - {out.settled_path}):
+        _delete(out.sparkSession, path)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes settled tables that nothing reads any more."""
     for table in tables:
