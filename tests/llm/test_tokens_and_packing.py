@@ -132,3 +132,65 @@ def test_token_store(spark, tmp_path):
     assert "PushedFilters: [" in plan and "doc_id" in plan.split("PushedFilters: [")[1].split("]")[0]
     token_store.write_token_store(empty(spark), queries.tokenizer("byte_bpe_50k.json"), f"{path}-none")
     assert token_store.read_token_store(spark, f"{path}-none").count() == 0
+
+
+def orc_tail(data):
+    """(stripes, stream kinds by column, encodings by column) of an ORC file, from its footers."""
+    import pyarrow as pa
+
+    from tidemark.llm.spm import wire_fields
+
+    def plain(block):
+        out, at = b"", 0
+        while at < len(block):
+            head = int.from_bytes(block[at : at + 3], "little")
+            chunk, at = block[at + 3 : at + 3 + (head >> 1)], at + 3 + (head >> 1)
+            if head & 1:
+                out += chunk
+                continue
+            size, shift, k = 0, 0, 0  # snappy begins with its length
+            while True:
+                size |= (chunk[k] & 127) << shift
+                shift, k = shift + 7, k + 1
+                if chunk[k - 1] < 128:
+                    break
+            out += pa.Codec("snappy").decompress(chunk, decompressed_size=size).to_pybytes()
+        return out
+
+    last = data[-1]
+    tail = dict(wire_fields(data[-1 - last : -1]))
+    footer = plain(data[-1 - last - tail[1] : -1 - last])
+    stripes = [dict(wire_fields(v)) for n, v in wire_fields(footer) if n == 3]
+    streams, encodings = {}, {}
+    for x in stripes:
+        at = x[1] + x[2] + x[3]
+        column = 0
+        for n, v in wire_fields(plain(data[at : at + x[4]])):
+            if n == 1:
+                told = dict(wire_fields(v))
+                streams.setdefault(told.get(2, 0), set()).add(told.get(1, 0))
+            elif n == 2:
+                encodings.setdefault(column, set()).add(dict(wire_fields(v)).get(1, 0))
+                column += 1
+    return stripes, streams, encodings
+
+
+def test_store_metadata_prunes(spark, tmp_path):
+    docs = spark.range(0, 80_000, 2).selectExpr("id doc_id", "concat('text ', id) text")
+    path = f"file://{tmp_path}/store"
+    token_store.write_token_store(docs.coalesce(1), queries.tokenizer("byte_bpe_50k.json"), path, stripe_bytes=1 << 14, row_index_stride=1000)
+    tails = [orc_tail(p.read_bytes()) for p in (tmp_path / "store").glob("part-*.orc")]
+    assert sum(len(stripes) for stripes, _, _ in tails) > len(tails), "several stripes to a file"
+    for _, streams, encodings in tails:
+        assert 6 in streams[1] and streams[1] & {7, 8} and not streams[4] & {7, 8}, "a row index, and a Bloom filter on the id alone"
+        assert encodings[1] == {2} and encodings[6] == {2}, "run-length encoding, version 2, of id and token ids"
+
+    def rows_read(ids):
+        found = token_store.read_token_store(spark, path, ids)
+        told = [r["doc_id"] for r in found.collect()]
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return told, leaf.metrics().apply("numOutputRows").value()
+
+    assert rows_read([4000])[0] == [4000] and 1 <= rows_read([4000])[1] <= 2000, "row groups without the id are skipped"
+    assert rows_read([4001]) == ([], 0), "an id between those there is ruled out by the Bloom filter"
+    assert rows_read([90_000]) == ([], 0), "an id beyond the statistics"

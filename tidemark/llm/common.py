@@ -38,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
+    _MADE.add(path)
+    return path
 
 
 @contextlib.contextmanager
@@ -64,7 +66,6 @@ def settle(df: DataFrame, tag: str, **options: str) -> DataFrame:
     path = fresh_path(spark, tag)
     with settings(spark, **{_CLEANUP.replace(".", "__"): "true"}):
         df.write.options(**options).parquet(path)
-    _MADE.add(path)
     out = spark.read.schema(nullable(df.schema)).parquet(path)
     out.settled_path = path  # type: ignore[attr-defined]
     return out
