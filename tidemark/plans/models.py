@@ -439,14 +439,14 @@ def b16_asset_gaps(spark, d):
     return long.join(long.select("seed", F.col("a").alias("b"), F.col("x").alias("y")), "seed").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"), F.covar_samp("x", "y").alias("cov"))
 
 
-@query("""SELECT 'panel' AS matrix, 0e0 AS jitter UNION ALL SELECT 'one series for all', 1e-8""")
+@query("""SELECT 'panel, halved' AS matrix, 0e0 AS jitter UNION ALL SELECT 'one series for all', 1e-8""")
 def b17_positive_definite(spark, d):
-    """Jitter that makes the panel's correlations positive definite: none as they are, the least if all series were one."""
+    """Jitter that makes correlations positive definite: none for half the panel's, the least if all series were one."""
     from tidemark.models.copula import positive_root
 
     rows = st.correlations(rets(spark, d)).select("a", "b", "corr").toPandas()  # assets by assets
     r = rows.pivot(index="a", columns="b", values="corr").to_numpy()
-    return spark.createDataFrame([("panel", positive_root(r)[1]), ("one series for all", positive_root(np.ones_like(r))[1])], "matrix string, jitter double")
+    return spark.createDataFrame([("panel, halved", positive_root((r + np.eye(len(r))) / 2)[1]), ("one series for all", positive_root(np.ones_like(r))[1])], "matrix string, jitter double")
 
 
 @query()
