@@ -35,6 +35,7 @@ def test_directory_splits_only_overfull_buckets(spark, bucket_size):
     built = exact_dedup.build_index(docs, bucket_size=bucket_size)
     index, known = built.entries.toPandas(), built.directory.toPandas()
     assert known.cell.is_unique and built.chained is None and set(known.bucket) == set(index.bucket)
+    assert built.depth == known.depth.max() and len(known) <= 2**built.depth
     assert len(index) == 150 and index.group_size.sum() == 400
     per = index.groupby("bucket").size()
     assert per.max() <= bucket_size or index.depth.max() == exact_dedup._DEPTH

@@ -5,8 +5,9 @@
    any size off a single task.
 2. The directory: distinct keys are counted by their leading bits. Starting with one bucket, every bucket with more than
    ``bucket_size`` keys is split on its next bit, doubling the directory, until all fit or ``_DEPTH`` bits are used up.
-   Copies do not count, and neither does a chain, so a bucket is overfull only by distinct keys. It has at most
-   2**_DEPTH entries, which is what makes it fit for a broadcast.
+   Copies do not count, and neither does a chain, so a bucket is overfull only by distinct keys. It has an entry for
+   each prefix of as many bits as the deepest bucket has: a few for each bucket, and at most 2**_DEPTH, which is what
+   makes it fit for a broadcast.
 3. The index (bucket, key, place in the chain, digest, keep_id, group_size) is written to the shared folder, dealt and
    sorted by ranges of buckets.
 4. A row finds its bucket in the directory, and in the bucket its key. Every row was there when the index was built, so
@@ -36,9 +37,9 @@ def _key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _cell(key: str) -> Column:
-    """The leading bits of a key as a number from 0 to 2**_DEPTH - 1."""
-    return F.shiftrightunsigned(key, 64 - _DEPTH)
+def _cell(key: str, depth: int = _DEPTH) -> Column:
+    """The ``depth`` leading bits of a key as a number."""
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -52,8 +53,9 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def directory(groups: DataFrame, bucket_size: int) -> DataFrame:
-    """(cell, depth, bucket, spread): for each occupied cell its bucket's local depth, first cell and lookup tasks.
+def directory(groups: DataFrame, bucket_size: int) -> tuple[DataFrame, int]:
+    """(cell, depth, bucket, spread), and the global depth, which is that of cells: for each occupied cell its bucket's
+    local depth, first cell (of all ``_DEPTH`` bits) and lookup tasks.
 
     Doubling proceeds depth by depth over counts per cell: a cell's bucket is the shortest prefix that holds at most
     ``bucket_size`` keys (or the whole cell). The counts of all depths come from one aggregation of the cells.
@@ -74,24 +76,27 @@ def directory(groups: DataFrame, bucket_size: int) -> DataFrame:
     found = found.groupBy("cell", "rows").agg(F.coalesce(F.min(F.when(F.col("fit") == 1, F.col("depth"))), F.lit(_DEPTH)).alias("depth"))
     placed = found.select("cell", "rows", "depth", F.expr(f"shiftleft(shiftright(cell, {_DEPTH} - depth), {_DEPTH} - depth)").alias("bucket"))
     spread = placed.groupBy("bucket").agg(F.ceil(F.sum("rows") / _ROWS).cast("int").alias("spread"))
-    out = settle(placed.join(spread, "bucket").select("cell", "depth", "bucket", "spread"), "directory")
-    discard(cells)
-    return out
+    placed = settle(placed.join(spread, "bucket").select("cell", "depth", "bucket", "spread"), "directory-placed")
+    deepest = placed.agg(F.max("depth")).first()[0] or 0
+    out = settle(placed.select(F.shiftright("cell", _DEPTH - deepest).alias("cell"), "depth", "bucket", "spread").distinct(), "directory")
+    discard(cells, placed)
+    return out, deepest
 
 
 @dataclass
 class Index:
-    """``directory``: cell, depth, bucket, spread. ``entries``: bucket, depth, spread, key, chain, chain_length,
+    """``directory``: cell (of ``depth`` bits), depth, bucket, spread. ``entries``: bucket, depth, spread, key, chain, chain_length,
     text_sha256, keep_id, group_size, one for each distinct text. ``chained``: the entries of chains of two or more, with
     their text; None if there are none."""
 
     directory: DataFrame
+    depth: int
     entries: DataFrame
     chained: DataFrame | None
 
     def place(self, rows: DataFrame) -> DataFrame:
         """Adds ``bucket`` and ``spread`` to rows with a ``key``, as the directory has them."""
-        return rows.withColumn("cell", _cell("key")).join(F.broadcast(self.directory.select("cell", "bucket", "spread")), "cell").drop("cell")  # at most 2**_DEPTH entries
+        return rows.withColumn("cell", _cell("key", self.depth)).join(F.broadcast(self.directory.select("cell", "bucket", "spread")), "cell").drop("cell")  # at most 2**_DEPTH entries
 
     @property
     def single(self) -> DataFrame:
@@ -101,8 +106,8 @@ class Index:
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_size: int = 50_000) -> Index:
     """Writes directory and entries to the shared folder."""
     groups = settle(_groups(docs, id_col, text_col), "text-groups")
-    known = directory(groups, bucket_size)
-    placed = groups.withColumn("cell", _cell("key")).join(F.broadcast(known), "cell").drop("cell")  # at most 2**_DEPTH entries
+    known, depth = directory(groups, bucket_size)
+    placed = groups.withColumn("cell", _cell("key", depth)).join(F.broadcast(known), "cell").drop("cell")  # at most 2**_DEPTH entries
     placed = placed.repartitionByRange(partitions(docs.sparkSession), "bucket", "key")
     chain = Window.partitionBy("bucket", "key")
     placed = placed.withColumns({"chain": F.row_number().over(chain.orderBy("text_sha256")), "chain_length": F.count(F.lit(1)).over(chain)})
@@ -110,10 +115,10 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     discard(groups)
     chained = entries.where("chain_length > 1")
     if chained.isEmpty():
-        return Index(known, entries, None)
+        return Index(known, depth, entries, None)
     texts = docs.select(_text(text_col).alias("text")).withColumn("key", _key(F.col("text")))
     texts = texts.join(chained.select("key").distinct(), "key", "left_semi").distinct().withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
-    return Index(known, entries, settle(chained.join(texts, ["key", "text_sha256"]), "text-chains"))
+    return Index(known, depth, entries, settle(chained.join(texts, ["key", "text_sha256"]), "text-chains"))
 
 
 def mark_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_size: int = 50_000) -> DataFrame:
