@@ -243,3 +243,53 @@ def test_components(spark, batch, monkeypatch):
     monkeypatch.setattr(jaccard, "_BATCH", batch)
     for few in (0, 1000):
         assert {r["node"]["id"]: r["label"]["id"] for r in jaccard.components(rows.repartition(3), "test", few=few).collect()} == want
+
+
+def passages_in_common(n=240, each=40):
+    """Texts that are not similar, tied to one part by passages of which each is in ``each`` of them; and near copies of some."""
+    rnd, texts = random.Random(5), []
+    for k in range(n):
+        own = [f"o{k}x{i}" for i in range(60)]
+        for p in (k * each // n, n + k * 7 % (n // each)):
+            own += [f"p{p}w{i}" for i in range(12)]
+        texts.append(own)
+    near = [t for k in range(0, n, 20) for t in variants(rnd, texts[k], 3, 3)]
+    return list(enumerate([" ".join(t) for t in texts] + near))
+
+
+def test_large_parts_are_divided_by_exact_counts(spark, monkeypatch):
+    """Summaries that know nothing tie all sets with a passage; exact counts leave near copies together, and few others."""
+    rows, parts, joined = passages_in_common(), [], jaccard.joined_parts
+
+    def seen(chosen, given, *more, **options):
+        parts.append(max(r["n"] for r in given.groupBy("label").agg(F.count("*").alias("n")).collect()))
+        return joined(chosen, given, *more, **options)
+
+    monkeypatch.setattr(jaccard, "joined_parts", seen)
+    assert ours(spark, rows, summary=1, block=100) == brute(rows, jaccard.Similarity())
+    assert parts[0] < 40, "sets of the largest part"
+
+
+def test_tasks_in_rounds_lose_nothing(spark, monkeypatch):
+    told = []
+    monkeypatch.setattr(jaccard, "_FEW_BYTES", 1000, raising=False)
+    monkeypatch.setattr(jaccard, "_AT_ONCE", 0, raising=False)
+    monkeypatch.setattr(jaccard, "_LARGE", 1 << 30, raising=False)
+    settled = jaccard.settle
+    monkeypatch.setattr(jaccard, "settle", lambda df, tag, **o: told.append(tag) or settled(df, tag, **o))
+    rows = passages_in_common(120)
+    assert ours(spark, rows, summary=1, block=400) == brute(rows, jaccard.Similarity())
+    assert told.count("jaccard-sets") == 2, "of quarters and of whole sets"
+
+
+def test_counts_of_signatures_span_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    sig = np.sort(np.array([rnd.randint(0, 60) for _ in range(700)] + [7] * 50 + [60] * 30))
+    for step in (1, 13, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(sig[k : k + step])], ["sig"]) for k in range(0, len(sig), step)]
+        got = {r["id"]: r["n"] for b in jaccard._count_task(iter(batches), 12) for r in b.to_pylist()}
+        assert got == {int(v): int(n) for v, n in zip(*np.unique(sig, return_counts=True), strict=True) if n >= 12}
+    assert not list(jaccard._count_task(iter([]), 12))

@@ -19,7 +19,10 @@ The connected parts of this graph are then joined, each in a task by an inverted
 of the universe, where sets that differ by more than U are not similar, then what stays connected over whole sets,
 exactly. Parts above a fixed number of shingles, or with a large share of all, are cut into blocks, and each pair of
 blocks is a task. A task tells a spanning forest of the links it finds, and of each set the number of documents it links
-to there. Equal sets are one node throughout. Joins are by key with neither side broadcast, and what is joined is a table
+to there. Every set of a part goes to as many tasks as the part has blocks; what is dealt at once is bounded by the
+corpus, in rounds of tasks if need be. Summaries miss signatures of middling frequency, the more the larger the corpus,
+and these tie unrelated sets to parts without end: if the large parts would be dealt oftener than the corpus is large,
+the signatures of their sets are counted exactly and the sets indexed again, with the true order. Equal sets are one node throughout. Joins are by key with neither side broadcast, and what is joined is a table
 and not an aggregation that keeps a key's rows in place, so that adaptive execution can split a hot key. Nothing but bounded tables and checksums comes to the driver.
 """
 
@@ -234,18 +237,51 @@ def _scan_task(batches: Iterator[pa.RecordBatch], sim: Similarity, keep: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), zero, zero, zero, pa.array(summary.sig.astype(np.int64)), pa.array(summary.n)], names)
 
 
-def _index_task(batches: Iterator[pa.RecordBatch], sim: Similarity, costs: Costs):
-    """(key, x, id): a signature, with the set's salt if it is frequent, so that its sets spread over tasks."""
+def _fresh_sets(batches: Iterator[pa.RecordBatch], sim: Similarity, bits: np.ndarray | None):
+    """(members, sizes, x, ids) of the sets that come up for the first time and whose bits are in the filter, if there is one."""
     seen: set = set()
     for batch in batches:
         for _, u, sizes in shingle_sets(batch.column(1), sim.k):
             x, ids = identities(u, sizes)
-            fresh = _new(x, ids, seen)
-            x, ids = x[fresh], ids[fresh]
-            owner, sig, power = cheapest(*_only(u, sizes, fresh), sim, costs)
-            key = sig.astype(np.int64) << 6 | np.where(power >= _HOT, ids[owner] & (_SALTS - 1), 0)
-            if len(key):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(x[owner]), pa.array(ids[owner])], ["key", "x", "id"])
+            found = x != 0 if bits is None else (x != 0) & in_filter(bits, x, ids)
+            found &= _new(np.where(found, x, 0), ids, seen)
+            if found.any():
+                yield *_only(u, sizes, found), x[found], ids[found]
+
+
+def _signature_task(batches: Iterator[pa.RecordBatch], sim: Similarity, bits: np.ndarray | None):
+    """All signatures of the sets, of each the one column ``sig``."""
+    for u, sizes, _, _ in _fresh_sets(batches, sim, bits):
+        for _, sig, _ in signatures(u, sizes, sim):
+            yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64))], ["sig"])
+
+
+def _count_task(batches: Iterator[pa.RecordBatch], least: int):
+    """(id, n) of the signatures that come ``least`` times or more, from signatures in order."""
+    last, n = None, 0
+    for batch in batches:
+        sig, times = np.unique(batch.column(0).to_numpy(), return_counts=True)
+        if not len(sig):
+            continue
+        if last is not None and last == sig[0]:
+            times[0] += n
+        elif last is not None and n >= least:
+            sig, times = np.concatenate([[last], sig]), np.concatenate([[n], times])
+        last, n = int(sig[-1]), int(times[-1])
+        told = np.flatnonzero(times[:-1] >= least)
+        if len(told):
+            yield pa.RecordBatch.from_arrays([pa.array(sig[told].astype(np.int64)), pa.array(times[told].astype(np.int64))], ["id", "n"])
+    if n >= least:
+        yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([n], pa.int64())], ["id", "n"])
+
+
+def _index_task(batches: Iterator[pa.RecordBatch], sim: Similarity, costs: Costs, bits: np.ndarray | None = None):
+    """(key, x, id): a signature, with the set's salt if it is frequent, so that its sets spread over tasks."""
+    for u, sizes, x, ids in _fresh_sets(batches, sim, bits):
+        owner, sig, power = cheapest(u, sizes, sim, costs)
+        key = sig.astype(np.int64) << 6 | np.where(power >= _HOT, ids[owner] & (_SALTS - 1), 0)
+        if len(key):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(x[owner]), pa.array(ids[owner])], ["key", "x", "id"])
 
 
 _EDGES = "kind int, sig long, ax long, aid long, bx long, bid long, weight long"
@@ -354,17 +390,10 @@ def quarter(members: np.ndarray) -> np.ndarray:
 
 def _sets_task(batches: Iterator[pa.RecordBatch], sim: Similarity, bits: np.ndarray | None, whole: bool):
     """(x, id, set or its quarter) of the sets whose bits are all set in the filter, if there is one."""
-    seen: set = set()
-    for batch in batches:
-        for _, u, sizes in shingle_sets(batch.column(1), sim.k):
-            x, ids = identities(u, sizes)
-            found = x != 0 if bits is None else (x != 0) & in_filter(bits, x, ids)
-            found &= _new(np.where(found, x, 0), ids, seen)
-            if found.any():
-                some, n = _only(u, sizes, found)
-                ends = np.cumsum(n)
-                sets = [(some[b - k : b] if whole else quarter(some[b - k : b])).tobytes() for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x[found]), pa.array(ids[found]), pa.array(sets, pa.binary())], ["x", "id", "members"])
+    for some, n, x, ids in _fresh_sets(batches, sim, bits):
+        ends = np.cumsum(n)
+        sets = [(some[b - k : b] if whole else quarter(some[b - k : b])).tobytes() for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(ids), pa.array(sets, pa.binary())], ["x", "id", "members"])
 
 
 def _places(x, ids, bits: int) -> list:
@@ -469,34 +498,42 @@ def _join_task(batches: Iterator[pa.RecordBatch], sim: Similarity, whole: bool):
     yield from done()
 
 
+def _filter_of(needed: DataFrame, n: int, most_bits: int):
+    """A filter of the ``n`` needed nodes, sent to all: 16 bits a node, or a little more; none where that is over ``most_bits``."""
+    bits = 1 << 12
+    while bits < 16 * n:
+        bits *= 2
+    if bits > most_bits:
+        return None
+    words = np.zeros(bits // 64, _U)
+    marks = needed.select("x", "id").mapInArrow(lambda it: _filter_task(it, bits), "at long, value long").groupBy("at").agg(F.bit_or("value").alias("value")).toArrow()  # at most bits / 64 rows
+    words[marks.column(0).to_numpy()] = marks.column(1).to_numpy().view(_U)
+    return needed.sparkSession.sparkContext.broadcast(words)
+
+
 def _sets_of(chosen: DataFrame, needed: DataFrame, n: int, sim: Similarity, most_bits: int, whole: bool) -> DataFrame:
     """(x, id, members, ...) of the ``n`` needed nodes, by one scan and an exact join.
 
-    A filter of 16 bits a node, or a little more, keeps other sets out of the shuffle; where that would take more than
-    ``most_bits``, there is none, and the join alone finds the nodes.
+    A filter keeps other sets out of the shuffle; where there is none, the join alone finds the nodes.
     """
-    spark, bits = chosen.sparkSession, 1 << 12
-    while bits < 16 * n:
-        bits *= 2
-    sent = None
-    if bits <= most_bits:
-        words = np.zeros(bits // 64, _U)
-        marks = needed.select("x", "id").mapInArrow(lambda it: _filter_task(it, bits), "at long, value long").groupBy("at").agg(F.bit_or("value").alias("value")).toArrow()  # at most bits / 64 rows
-        words[marks.column(0).to_numpy()] = marks.column(1).to_numpy().view(_U)
-        sent = spark.sparkContext.broadcast(words)
+    sent = _filter_of(needed, n, most_bits)
     sets = chosen.mapInArrow(lambda it: _sets_task(it, sim, None if sent is None else sent.value, whole), "x long, id long, members binary")
     return sets.join(needed.hint("merge"), ["x", "id"])
 
 
 #: A part of this many shingles may be cut into up to ``_SPREAD`` blocks for the sake of balance alone.
 _WORTH, _SPREAD = 1 << 14, 32
+#: Bytes of sets dealt at once: so many for each shingle of the corpus, or the latter number if that is more.
+_AT_ONCE, _FEW_BYTES = 4, 1 << 28
 
 
-def joined_parts(chosen: DataFrame, parts: DataFrame, docs_of: DataFrame, sim: Similarity, block: int, most_bits: int, whole: bool) -> DataFrame:
+def joined_parts(chosen: DataFrame, parts: DataFrame, docs_of: DataFrame, sim: Similarity, block: int, most_bits: int, whole: bool, corpus: int = 0) -> DataFrame:
     """The rows of ``_join_task`` for each part of the graph (node, label), by whole sets or by quarters.
 
     ``docs_of``: (x, id, docs), how many documents a node stands for. A part is cut into blocks of about ``block``
     shingles, and into more if it holds so large a share of all shingles that a task for each pair of blocks evens out.
+    If more would be dealt than a corpus of ``corpus`` shingles allows at once, the sets are settled and dealt in rounds,
+    each to a share of the tasks.
     """
     spark, width = chosen.sparkSession, partitions(chosen.sparkSession)
     size = parts.groupBy("label").agg(F.sum("node.x").alias("size"))
@@ -510,15 +547,29 @@ def joined_parts(chosen: DataFrame, parts: DataFrame, docs_of: DataFrame, sim: S
     else:
         placed = placed.withColumn("docs", F.lit(1).cast("long"))
     placed = settle(placed, "jaccard-parts")
+    volume = (placed.agg(F.sum(F.col("x") * F.col("blocks"))).first()[0] or 0) * (8 if whole else 1)
+    rounds = max(1, -(-volume // max(_AT_ONCE * corpus, _FEW_BYTES)))
     own = F.pmod(F.xxhash64("x", "id"), F.col("blocks")).cast("int")
     sets = _sets_of(chosen, placed, total[1], sim, most_bits, whole).withColumn("own", own)
+    if rounds > 1:
+        sets = settle(sets, "jaccard-sets")
     tasks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = sets.select("label", "own", tasks.alias("other"), "x", "id", "docs", "members").select(F.col("label.x").alias("px"), F.col("label.id").alias("pid"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "x", "id", "docs", "members")
     pair = F.col("j") * (F.col("j") + 1) / 2 + F.col("i")  # numbered from 0, so that the tasks of a part go to different partitions
     task = F.pmod(F.xxhash64("px", "pid") % width + pair.cast("long"), F.lit(width)).cast("int")
-    dealt = dealt.repartitionById(width, task).sortWithinPartitions("px", "pid", "i", "j")
-    found = settle(dealt.mapInArrow(lambda it: _join_task(it, sim, whole), _LINKS), "jaccard-links" if whole else "jaccard-likely")
+    told = []
+    for k in range(rounds):
+        now = dealt if rounds == 1 else dealt.where(F.pmod(F.xxhash64("px", "pid", "i", "j"), F.lit(rounds)) == k)
+        now = now.repartitionById(width, task).sortWithinPartitions("px", "pid", "i", "j")
+        told.append(settle(now.mapInArrow(lambda it: _join_task(it, sim, whole), _LINKS), "jaccard-links" if whole else "jaccard-likely"))
     discard(placed, blocks)
+    if rounds == 1:
+        return told[0]
+    found = told[0]
+    for more in told[1:]:
+        found = found.unionByName(more)
+    found = settle(found, "jaccard-links" if whole else "jaccard-likely")
+    discard(sets, *told)
     return found
 
 
@@ -624,9 +675,9 @@ class Join:
     classes: DataFrame
 
 
-def _costs(scan: DataFrame, most: int) -> Costs:
-    """The most frequent signatures of the summaries, at most ``most`` of them."""
-    counted = settle(scan.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")), "jaccard-frequent")
+def _costs(counted: DataFrame, most: int) -> Costs:
+    """The most frequent of the counted signatures (id, n), at most ``most`` of them."""
+    counted = settle(counted, "jaccard-frequent")
     by = counted.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).count().collect()  # at most 63 rows
     least, held = 99, 0
     for row in sorted(by, key=lambda r: -r["p"]):
@@ -636,9 +687,56 @@ def _costs(scan: DataFrame, most: int) -> Costs:
     table = counted.where(F.floor(F.log2("n")) >= least).select("id", F.least(F.floor(F.log2("n")), F.lit(15)).cast("int").alias("p")).toArrow()  # at most ``most`` rows
     known, power = table.column(0).to_numpy().astype(_U), table.column(1).to_numpy()
     order = np.argsort(known)
+    discard(counted)
     return Costs(known[order], power[order].astype(np.uint8))
 
 
+def _candidates(chosen: DataFrame, sim: Similarity, costs: Costs, sent=None) -> tuple[DataFrame, DataFrame]:
+    """(edges between nodes that may be similar, the settled table they are read from); ``sent``: a filter of the sets, if any."""
+    spark = chosen.sparkSession
+    costs = spark.sparkContext.broadcast(costs)
+    index = chosen.mapInArrow(lambda it: _index_task(it, sim, costs.value, None if sent is None else sent.value), "key long, x long, id long")
+    dealt = index.repartition(partitions(spark), "key").sortWithinPartitions("key", "x", "id")
+    found = settle(dealt.mapInArrow(lambda it: _group_task(it, sim, costs.value), _EDGES), "jaccard-groups")
+
+    ends = ["ax", "aid", "bx", "bid"]
+    enough = F.greatest(F.lit(_LEAST), F.least(F.lit(_MOST), F.floor(F.col("ax") / _PER)))  # a is the smaller set
+    pairs = found.where("kind = 0").groupBy(*ends).agg(F.sum("weight").alias("weight")).where(F.col("weight") >= enough).select(*ends)
+    stars = found.where("kind = 1").select(*ends)
+    salted = found.where("kind = 2").select("sig", _node("ax", "aid").alias("b"))
+    first = salted.groupBy("sig").agg(F.min("b").alias("a"))
+    across = salted.join(first.hint("merge"), "sig").select("a", "b")
+    return pairs.unionByName(stars).select(_node("ax", "aid").alias("a"), _node("bx", "bid").alias("b")).unionByName(across), found
+
+
+#: A part of so many blocks is a large one; exact counts send so many times the signatures that summaries do.
+_LARGE, _MORE = 4, 8
+
+
+def _refined(chosen: DataFrame, parts: DataFrame, sim: Similarity, corpus: int, block: int, most_bits: int, known: int) -> DataFrame:
+    """The parts (node, label) with large ones divided anew, if dealing them by blocks takes more than the corpus.
+
+    All signatures of the sets in large parts are counted, and the sets indexed again in the order of these counts, so
+    that signatures of more than ``_SMALL`` sets come last. Similar sets are in one part before, and so they are after.
+    """
+    spark = chosen.sparkSession
+    blocks = F.ceil(F.col("size") / block)
+    large = settle(parts.groupBy("label").agg(F.sum("node.x").alias("size")).where(blocks >= _LARGE), "jaccard-large")
+    if (large.agg(F.sum(F.col("size") * blocks)).first()[0] or 0) <= corpus:
+        discard(large)
+        return parts
+    needed = settle(parts.join(large.hint("merge"), "label").select("node.x", "node.id"), "jaccard-needed")
+    sent = _filter_of(needed, needed.count(), most_bits)
+    sig = chosen.mapInArrow(lambda it: _signature_task(it, sim, None if sent is None else sent.value), "sig long")
+    sig = sig.repartition(partitions(spark), "sig").sortWithinPartitions("sig")
+    costs = _costs(sig.mapInArrow(lambda it: _count_task(it, _SMALL + 1), "id long, n long"), known * _MORE)
+    edges, found = _candidates(chosen, sim, costs, sent)
+    rest = parts.join(large.select("label").hint("merge"), "label", "left_anti").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    out = settle(components(edges.unionByName(rest), "jaccard-candidates"), "jaccard-candidates")
+    discard(found, needed, large, parts)
+    return out
+
+
 def jaccard_join(
     docs: DataFrame, *, similarity: Similarity | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, summary: int = 1 << 16, known: int = 1 << 18, filter_bits: int = 1 << 26, block: int = 1 << 19
 ) -> Join:
@@ -655,28 +753,17 @@ def jaccard_join(
     chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(None).cast("long").alias("row") if row_col is None else F.col(f"`{row_col}`").alias("row"))
     scan = settle(chosen.mapInArrow(lambda it: _scan_task(it, sim, summary), _SCAN), "jaccard-scan")
     documents = scan.where("kind = 0").select("doc_id", "row", "x", "id", F.col("n").alias("n_shingles"))
-    sent = spark.sparkContext.broadcast(_costs(scan, known))
-
-    index = chosen.mapInArrow(lambda it: _index_task(it, sim, sent.value), "key long, x long, id long")
-    dealt = index.repartition(partitions(spark), "key").sortWithinPartitions("key", "x", "id")
-    found = settle(dealt.mapInArrow(lambda it: _group_task(it, sim, sent.value), _EDGES), "jaccard-groups")
-
-    ends = ["ax", "aid", "bx", "bid"]
-    enough = F.greatest(F.lit(_LEAST), F.least(F.lit(_MOST), F.floor(F.col("ax") / _PER)))  # a is the smaller set
-    pairs = found.where("kind = 0").groupBy(*ends).agg(F.sum("weight").alias("weight")).where(F.col("weight") >= enough).select(*ends)
-    stars = found.where("kind = 1").select(*ends)
-    salted = found.where("kind = 2").select("sig", _node("ax", "aid").alias("b"))
-    first = salted.groupBy("sig").agg(F.min("b").alias("a"))
-    across = salted.join(first.hint("merge"), "sig").select("a", "b")
-    edges = pairs.unionByName(stars).select(_node("ax", "aid").alias("a"), _node("bx", "bid").alias("b")).unionByName(across)
+    corpus = documents.agg(F.sum("n_shingles")).first()[0] or 0
+    edges, found = _candidates(chosen, sim, _costs(scan.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")), known))
     nodes = documents.where("n_shingles > 0").groupBy("x", "id").agg(F.count(F.lit(1)).alias("docs"))
     parts = settle(components(edges, "jaccard-candidates"), "jaccard-candidates")
     discard(found)
-    likely = joined_parts(chosen, parts, nodes, sim, block * 4, filter_bits, whole=False)
+    parts = _refined(chosen, parts, sim, corpus, block * 4, filter_bits, known)
+    likely = joined_parts(chosen, parts, nodes, sim, block * 4, filter_bits, whole=False, corpus=corpus)
     discard(parts)
     parts = settle(components(_edges(likely), "jaccard-likely"), "jaccard-likely")
     discard(likely)
-    told = joined_parts(chosen, parts, nodes, sim, block, filter_bits, whole=True)
+    told = joined_parts(chosen, parts, nodes, sim, block, filter_bits, whole=True, corpus=corpus)
     discard(parts)
     counts = told.where("kind = 1").groupBy(F.col("ax").alias("x"), F.col("aid").alias("id")).agg(F.sum("n").alias("links"))
     classes = settle(components(_edges(told), "jaccard-components"), "jaccard-classes")
