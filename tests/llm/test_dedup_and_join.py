@@ -293,3 +293,21 @@ def test_counts_of_signatures_span_batches():
         got = {r["id"]: r["n"] for b in jaccard._count_task(iter(batches), 12) for r in b.to_pylist()}
         assert got == {int(v): int(n) for v, n in zip(*np.unique(sig, return_counts=True), strict=True) if n >= 12}
     assert not list(jaccard._count_task(iter([]), 12))
+
+
+def test_numbered_rows_are_compressed(spark, monkeypatch):
+    """The copy of the corpus stays on disk beside the index."""
+    import os
+
+    tables, settled = {}, jaccard.settle
+
+    def kept(df, tag, **options):
+        tables[tag] = settled(df, tag, **options)
+        return tables[tag]
+
+    monkeypatch.setattr(jaccard, "settle", kept)
+    docs = spark.createDataFrame([(k, f"one two three four five {k}") for k in range(9)], "doc_id long, text string")
+    rows = jaccard.drop_near_duplicates(docs)
+    assert rows.count() == 9
+    names = os.listdir(tables["jaccard-rows"].settled_path.removeprefix("file://"))
+    assert any(n.endswith(".zstd.parquet") for n in names) and not any(n.endswith(".snappy.parquet") for n in names)

@@ -795,7 +795,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     Documents without words all stay.
     """
     name = free_name(docs.columns, "_row")
-    rows = settle(docs.withColumn(name, F.monotonically_increasing_id()), "jaccard-rows")
+    rows = settle(docs.withColumn(name, F.monotonically_increasing_id()), "jaccard-rows", compression="zstd")  # the largest table, beside the index
     joined = jaccard_join(rows, id_col=id_col, text_col=text_col, row_col=name, **options)
     documents = joined.documents.where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
